@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name: (module, function, name of the module's SQL or None).
 QUERIES = {
     "op8_bpe": ("bpe", "op8_bpe", None),
+    "op9_decontamination": ("decontam", "op9_decontamination", "SQL"),
+    "op7_language": ("langid", "op7_language", None),
 }
 
 

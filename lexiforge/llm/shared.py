@@ -7,12 +7,33 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    home = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, home, True)
+    kept = os.path.join(home, f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(kept, "w", zipfile.ZIP_DEFLATED) as out:
+        for top, _, names in os.walk(package):
+            for path in (os.path.join(top, n) for n in names if n.endswith(".py")):
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(kept)
+    _shipped.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset (tests) one of our own is set."""
     sc = spark.sparkContext
@@ -36,6 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, tag: str) -> str:
     """URI of a new, empty place in the shared folder for files of one run."""
     uri = f"{checkpoint_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    ship(spark)
     fs, path = _fs(uri)
     fs.create_dir(path, recursive=True)
     return uri
