@@ -9,6 +9,7 @@ QUERIES = {
     "op8_bpe": ("bpe", "op8_bpe", None),
     "op9_decontamination": ("decontam", "op9_decontamination", "SQL"),
     "op7_language": ("langid", "op7_language", None),
+    "op6_perplexity": ("ngram_lm", "op6_perplexity", None),
 }
 
 
