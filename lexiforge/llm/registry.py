@@ -10,6 +10,7 @@ QUERIES = {
     "op9_decontamination": ("decontam", "op9_decontamination", "SQL"),
     "op7_language": ("langid", "op7_language", None),
     "op6_perplexity": ("ngram_lm", "op6_perplexity", None),
+    "op10_near_duplicates": ("jaccard", "op10_near_duplicates", None),
 }
 
 
