@@ -11,6 +11,8 @@ QUERIES = {
     "op7_language": ("langid", "op7_language", None),
     "op6_perplexity": ("ngram_lm", "op6_perplexity", None),
     "op10_near_duplicates": ("jaccard", "op10_near_duplicates", None),
+    "op3_sharding": ("sharding", "op3_sharding", None),
+    "op2_line_dedup": ("line_dedup", "op2_line_dedup", "SQL"),
 }
 
 
