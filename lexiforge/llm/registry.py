@@ -13,6 +13,7 @@ QUERIES = {
     "op10_near_duplicates": ("jaccard", "op10_near_duplicates", None),
     "op3_sharding": ("sharding", "op3_sharding", None),
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "SQL"),
+    "op1_secrets": ("secrets", "op1_secrets", "SQL"),
 }
 
 
