@@ -14,6 +14,8 @@ QUERIES = {
     "op3_sharding": ("sharding", "op3_sharding", None),
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "SQL"),
     "op1_secrets": ("secrets", "op1_secrets", "SQL"),
+    "op4_vptree": ("vptree", "op4_vptree", None),
+    "op5_fixity": ("warc", "op5_fixity", "SQL"),
 }
 
 
