@@ -81,7 +81,7 @@ def parse_line(raw: str | None) -> tuple[str, str, list[dict], str]:
     sr, _, tree = (raw or "").strip().partition(" ")
     rows, wrong = _grow(tree)
     if "(" in sr:
-        wrong = wrong or "no surface form"
+        wrong = "no surface form"
     labels = {"prefix": 1, "suffix": 2}
     out: list[dict] = []
     at, todo, ends = 0, [(0, -1, False)], {}
