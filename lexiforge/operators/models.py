@@ -229,3 +229,30 @@ def softmax(scores: DataFrame, by: str = "word_id", score: str = "score") -> Dat
     top = scores.groupBy(by).agg(F.max(score).alias("_top"))
     total = scores.join(top, by).groupBy(by).agg(F.first("_top").alias("_top"), F.sum(F.exp(F.col(score) - F.col("_top"))).alias("_sum"))
     return scores.join(total, by).withColumn("weight", F.exp(F.col(score) - F.col("_top")) / F.col("_sum")).drop("_top", "_sum")
+
+
+def packed_arcs(words: DataFrame, potentials: DataFrame) -> DataFrame:
+    """word_id, word and transducer scores (word_id, i, x, y: place among the symbols, score) as parallel arrays."""
+    rows = potentials.groupBy("word_id").agg(*(F.collect_list(c).alias(c) for c in ("i", "x", "y", "score")))
+    return words.select("word_id", "word").join(rows, "word_id")
+
+
+def scored_transducer(row, automaton: dp.Automaton, extra: int) -> dp.Transducer:
+    """The transducer of a row of packed_arcs; its scores hold after every context."""
+    table: dict = {}
+    for i, x, y, score in zip(row.i, row.x, row.y, row.score, strict=True):
+        table.setdefault((i, x), np.full((len(automaton.y), 1), dp.NEG))[y] = score
+    wide = {k: np.repeat(v, len(automaton.p), axis=1) for k, v in table.items()}
+    return dp.Transducer(automaton, row.word, lambda i, x: wide.get((i, x)), extra)
+
+
+def transduce_scored(scored: DataFrame, symbols: list[str], contexts: list[str], extra: int = 6) -> DataFrame:
+    """word_id, word, score, ur, log_z by scores from features."""
+    automaton = dp.Automaton(symbols, contexts)
+
+    def each(row):
+        t = scored_transducer(row, automaton, extra)
+        score, ur, _ = t.decode()
+        yield row.word_id, row.word, score, ur, t.log_z()
+
+    return _mapped(scored, "word_id long, word string, score double, ur string, log_z double", each)

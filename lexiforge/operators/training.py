@@ -106,3 +106,34 @@ def joint_step(words: DataFrame, weighted: DataFrame, scorer: models.TransducerS
     for x, y, g in sums.collect():
         pairs[x, y] = pairs.get((x, y), 0.0) + eta * g
     return models.TransducerScorer(scorer.symbols, scorer.contexts, scorer.copy, scorer.change, pairs, scorer.after, scorer.extra)
+
+
+def transducer_gradient(scored: DataFrame, gold: DataFrame, symbols: list[str], contexts: list[str], extra: int = 6) -> DataFrame:
+    """word_id, i, x, y, g of the negative log-likelihood by the arcs' scores, summed over contexts. gold: word_id, ur_gold."""
+    automaton = dp.Automaton(symbols, contexts)
+
+    def each(row):
+        t = models.scored_transducer(row, automaton, extra)
+        for i, (own, grads) in enumerate(zip(t.moves, t.gradient(row.ur_gold), strict=True)):
+            for (j, _), g in zip(own, grads, strict=True):
+                for y, v in enumerate(g.sum(axis=1)):
+                    if v:
+                        yield row.word_id, i, row.word[i:j], y, -float(v)
+
+    return models._mapped(scored.join(gold.select("word_id", "ur_gold"), "word_id"), "word_id long, i int, x string, y int, g double", each)
+
+
+def train_transducer(words: DataFrame, symbols: list[str], contexts: list[str], iterations: int = 20, optimizer: AdaGrad | None = None, extra: int = 6) -> tuple[DataFrame, list[DataFrame]]:
+    """(weights, exact-match accuracy of the best output against ur_gold for each epoch) from words (word_id, word, ur_gold),
+    by the same batch steps as train()."""
+    optimizer = optimizer or AdaGrad(eta=1.0, c=1e-7)
+    by = ("word_id", "i", "x")
+    features = tables.transducer_features(words)
+    weights, metrics = words.sparkSession.createDataFrame([], "k long, w double, q double, u int"), []
+    for step in range(1, iterations + 1):
+        scored = models.packed_arcs(words, tables.potentials(features, weights, len(symbols), optimizer.initial_w, by))
+        gradient = transducer_gradient(scored, words, symbols, contexts, extra)
+        best = models.transduce_scored(scored, symbols, contexts, extra).join(words.select("word_id", "ur_gold"), "word_id")
+        metrics.append(best.agg(F.avg((F.col("ur") == F.col("ur_gold")).cast("double")).alias("ur_acc")))
+        weights = optimizer.step(weights, tables.gradient_by_feature(features, gradient, len(symbols), by), step).checkpoint()
+    return optimizer.finalize(weights, iterations + 1), metrics

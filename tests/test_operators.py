@@ -137,3 +137,24 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT ur FROM decoded").first().ur == "ab"
+
+
+def test_transducer_training(spark):
+    words = spark.createDataFrame([(1, "aa", "ab"), (2, "ba", "bb")], "word_id long, word string, ur_gold string")
+    weights, accuracy = training.train_transducer(words, ["", "a", "b"], [""], iterations=8, optimizer=AdaGrad(eta=0.2), extra=1)
+    assert accuracy[0].first().ur_acc < accuracy[-1].first().ur_acc and weights.count() > 0
+
+
+@pytest.mark.parametrize("segmenter", ["chunk", "tree"])
+def test_experiment(spark, tmp_path, segmenter):
+    from lexiforge.operators import experiment
+
+    spark.createDataFrame([("redo (S (re:prefix) (do:stem))",), ("undo (S (un:prefix) (do:stem))",)], "value string").coalesce(1).write.text(str(tmp_path / "dev"))
+    letters = ["", *"deonru"]
+    scorer = models.TransducerScorer(letters, [""], extra=1)
+    weights = spark.createDataFrame([], "k long, w double, q double, u int")
+    config = experiment.Config(dev=str(tmp_path / "dev"), segmenter=segmenter, samples=20)
+    got = {r["mode"]: r for r in experiment.run(spark, config, scorer, weights).collect()}
+    assert set(got) == set(experiment.MODES) and all(r.words == 2 and r.ur_acc == 1.0 and 0 <= r.span_f1 <= 1 for r in got.values())
+    with pytest.raises(ValueError):
+        experiment.Config(dev="x", decode="best")
