@@ -15,17 +15,20 @@ those named in keep are passed on.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Rows that one window is meant to hold.
-WINDOW_ROWS = 50_000
 
+def interleave(docs: DataFrame, shards: int, seed: int = 20, source: str = "source", keep: tuple[str, ...] = (), window_rows: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, the columns keep, shard and slot (gapless from 0) of every row of docs (doc_id, text, source).
 
-def interleave(docs: DataFrame, shards: int, seed: int = 20, source: str = "source", keep: tuple[str, ...] = (), window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, the columns keep, shard and slot (gapless from 0) of every row of docs (doc_id, text, source)."""
+    window_rows: rows that one window is meant to hold; by default the square root of all rows, so that windows and the
+    tables of their counts grow alike.
+    """
     body = F.coalesce("text", F.lit("")).cast("binary")
     slim = docs.select(
         "doc_id", F.col(source).alias("_source"), *keep, (F.octet_length(body) + F.lit(1)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
@@ -33,7 +36,7 @@ def interleave(docs: DataFrame, shards: int, seed: int = 20, source: str = "sour
     )
     slim = shared.cut(slim)
     total = slim.count()
-    buckets = max(1, -(-total // window_rows))
+    buckets = max(1, -(-total // (window_rows or max(1, math.isqrt(total)))))
     slim = slim.withColumn("_bucket", F.floor((F.col("_order") / F.lit(2.0**64) + 0.5) * buckets).cast("long"))
     own = Window.partitionBy("_source", "_bucket").orderBy("_order", "doc_id")
     counts = slim.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
@@ -48,7 +51,7 @@ def interleave(docs: DataFrame, shards: int, seed: int = 20, source: str = "sour
     ranked = ranked.withColumn("_slice", F.least(F.floor(F.col("_part") * buckets), F.lit(buckets - 1)).cast("long"))
     ranked = shared.cut(ranked.select("doc_id", *keep, "size", "text_crc32", "_source", "_order", "_part", "_slice"))
     slices = ranked.groupBy("_slice").agg(F.count("*").alias("_n"))
-    # one row for each WINDOW_ROWS rows: so few that they fit one window
+    # one row for each window_rows rows: so few that they fit one window
     slices = slices.select(F.col("_slice").alias("z"), (F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_from"))
     placed = ranked.withColumn("_k", F.row_number().over(Window.partitionBy("_slice").orderBy("_part", "_source", "_order", "doc_id")) - 1)
     placed = placed.join(slices, placed["_slice"] == slices["z"]).withColumn("_place", F.col("_from") + F.col("_k"))
