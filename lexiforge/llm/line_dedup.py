@@ -83,6 +83,7 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     windows = shared.cut(windows)
     place = ["len", "rank", "rank2"]
     first = windows.groupBy(*place).agg(F.min(F.struct(*DOC, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = shared.cut(first)  # so that the join has two exchanges of its own, and skewed windows can be split
     later = ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th"))) | (F.col("pos") >= F.col("first.pos") + F.col("len"))
     return windows.join(first, place).where(later).select(*DOC, "pos", "len")
 
