@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 FANOUT = 16
-ARCHIVE_ROWS = 4096
+ARCHIVE_ROWS = 512
 
 
 def record(page_id: Column, url: Column, body: Column) -> Column:
