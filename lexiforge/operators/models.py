@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lexiforge import functions as L
 from lexiforge.operators import dp
+from lexiforge.shipping import ship
 
 #: Arc weights that may be sent with a function.
 MOST_WEIGHTS = 1 << 20
@@ -78,6 +79,7 @@ def _mapped(df: DataFrame, schema: str, each: Callable) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([out for row in pdf.itertuples(index=False) for out in each(row)], columns=names)
 
+    ship(df.sparkSession)
     return df.mapInPandas(run, schema)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.operators import dp, models, tables
 from lexiforge.operators.optimizer import AdaGrad
+from lexiforge.shipping import ship
 
 
 def chunk_gradient(scored: DataFrame, gold: DataFrame, gt0: list[float], gt: list[list[float]]) -> DataFrame:
@@ -80,6 +81,7 @@ def sequential(spark_rows: DataFrame, kind: str, labels: int, iterations: int, o
                 step += 1
         return pd.DataFrame({"k": list(w), "w": list(w.values()), "q": [q[k] for k in w], "u": [u[k] for k in w]})
 
+    ship(spark_rows.sparkSession)
     return spark_rows.groupBy(F.lit(1)).applyInPandas(run, "k long, w double, q double, u int")
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiforge.shipping import ship
+
 LEAF = r"([^():]+):([^():]+)[)]"
 
 
@@ -124,6 +126,7 @@ def parse(corpus: DataFrame) -> DataFrame:
                 made.append((line_no, sr, ur, len(sr), len(ur), nodes, not wrong, wrong or None))
             yield pd.DataFrame(made, columns=["line_no", "sr", "ur", "n", "m", "nodes", "parse_ok", "parse_issue"])
 
+    ship(corpus.sparkSession)
     node = "struct<node_id:int,parent_id:int,i:int,j:int,label:int,word:string,is_leaf:boolean>"
     return corpus.select("line_no", "raw").mapInPandas(run, f"line_no long, sr string, ur string, n int, m int, nodes array<{node}>, parse_ok boolean, parse_issue string")
 
