@@ -6,9 +6,11 @@ lines on), taken by a range-partitioned sort with running counts. A suffix whose
 one shares its prefix. Suffixes of one rank are an interval of the array whose longest common prefix reaches the depth.
 
 A repeated run counts if it has min_words words. For each line, the shortest run from there with so many words is a
-window; two windows are equal if they agree in length and in the ranks of their two halves of 2**k lines that cover them.
-Any longer maximal run is the union of its windows, so the doubling stops at the longest window. Windows that stand
-earlier without overlap are later copies; their lines are deleted, and the first copy stays.
+window, and so is the shortest one that ends there; two windows are equal if they agree in length and in the ranks of
+their two halves of 2**k lines that cover them. Any longer maximal run is the union of its windows: a line with enough
+words behind it is in the window that starts there, any other in the window that ends with the run. So the doubling stops
+at the longest window. Windows that stand earlier without overlap are later copies; their lines are deleted, and the first
+copy stays.
 
 Cases: null texts stay null; empty texts and blank lines have no words; trailing white space of a line does not count;
 rows equal in doc_id and text are one document and share its result; other columns pass through (text is replaced, columns
@@ -38,7 +40,8 @@ def ranked(keys: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """Lines of the distinct documents with the length of the window that starts there (null: too few words follow)."""
+    """Lines of the distinct documents with the lengths of the windows that start there: the shortest run from there, and
+    those that are the shortest up to their last lines."""
     line = F.rtrim("line")
     out = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     out = out.select(*DOC, "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.regexp_count("line", F.lit(r"[^ \t\r\f]+")).alias("words"))
@@ -47,20 +50,28 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     out = out.withColumn("at", F.sum("words").over(whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("long") - F.col("words"))
     reach = whole.orderBy("at").rangeBetween(0, min_words - 1)
     out = out.withColumn("last", F.max("pos").over(reach)).withColumn("full", F.max(F.col("at") + F.col("words")).over(reach) - F.col("at") >= min_words)
-    return out.select(*DOC, "pos", "h1", "h2", F.when(F.col("full"), F.col("last") - F.col("pos") + 1).alias("len"))
+    out = out.withColumn("end", F.col("at") + F.col("words"))
+    back = whole.orderBy("end").rangeBetween(1 - min_words, 0)
+    out = out.withColumn("from", F.min("pos").over(back)).withColumn("full_back", F.col("end") - F.min("at").over(back) >= min_words)
+    each = F.array(
+        F.struct("pos", "h1", "h2", F.when(F.col("full"), F.col("last") - F.col("pos") + 1).alias("len")),
+        F.struct(F.when(F.col("full_back"), F.col("from")).alias("pos"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.when(F.col("full_back"), F.col("pos") - F.col("from") + 1).alias("len")),
+    )
+    out = out.select(*DOC, F.explode(each).alias("x")).select(*DOC, "x.*").where("pos IS NOT NULL")
+    return out.groupBy(*DOC, "pos").agg(F.max("h1").alias("h1"), F.max("h2").alias("h2"), F.collect_set("len").alias("lens"))
 
 
 def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, pos, len) of the windows that are later copies."""
     lines = _lines(docs, min_words)
     names = ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1"), ["h1", "h2"])
-    suffixes = shared.cut(lines.join(names, ["h1", "h2"]).select(*DOC, "pos", "len", "rank"))
-    longest = suffixes.agg(F.max("len")).first()[0] or 0
+    suffixes = shared.cut(lines.join(names, ["h1", "h2"]).select(*DOC, "pos", "lens", "rank"))
+    longest = suffixes.agg(F.max(F.array_max("lens"))).first()[0] or 0
     whole = Window.partitionBy(*DOC).orderBy("pos")
     windows, k = None, 0
     while 1 << k <= longest:
         h = 1 << k
-        own = suffixes.where(f"len >= {h} AND len < {2 * h}")
+        own = suffixes.select(*DOC, "pos", F.explode(F.filter("lens", lambda n: (n >= h) & (n < 2 * h))).alias("len"), "rank")  # noqa: B023
         if k:
             other = suffixes.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("pos").alias("p2"), F.col("rank").alias("rank2"))
             own = own.join(other, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("pos") + F.col("len") - h == F.col("p2")))
@@ -71,15 +82,15 @@ def repeated_windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         k += 1
         if 1 << k > longest:
             break
-        needed = F.max(F.when(F.col("len") >= 2 * h, F.col("pos") + F.col("len"))).over(whole.rowsBetween(Window.unboundedPreceding, 0)) > F.col("pos")
+        needed = F.max(F.when(F.array_max("lens") >= 2 * h, F.col("pos") + F.array_max("lens"))).over(whole.rowsBetween(Window.unboundedPreceding, 0)) > F.col("pos")
         on = F.first("rank").over(whole.rangeBetween(h, h))
         pairs = suffixes.withColumn("needed", needed).withColumn("on", on).where("needed AND on IS NOT NULL").drop("needed")
         pairs = shared.cut(pairs)
         names = ranked(pairs.groupBy("rank", "on").agg(F.count("*").alias("c")).where("c > 1"), ["rank", "on"])
         names = names.toDF("a", "b", "longer")
-        suffixes = shared.cut(pairs.join(names, (pairs["rank"] == names["a"]) & (pairs["on"] == names["b"])).select(*DOC, "pos", "len", F.col("longer").alias("rank")))
+        suffixes = shared.cut(pairs.join(names, (pairs["rank"] == names["a"]) & (pairs["on"] == names["b"])).select(*DOC, "pos", "lens", F.col("longer").alias("rank")))
     if windows is None:
-        return suffixes.select(*DOC, "pos", "len").limit(0)
+        return suffixes.select(*DOC, "pos", F.explode("lens").alias("len")).limit(0)
     windows = shared.cut(windows)
     place = ["len", "rank", "rank2"]
     first = windows.groupBy(*place).agg(F.min(F.struct(*DOC, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
