@@ -3,10 +3,11 @@
 Pages become WARC/1.1 resource records, dealt to archives of bounded size by a hash of page id and url and ordered by them, each
 with its offset. The SHA-256 of every record is a leaf; FANOUT neighbouring nodes, an ordered offset range, make a node of
 the next level, up to one root for each archive. An audit compares roots of two replicas, and descends only below nodes
-that differ, level by level, to the records at fault.
+that differ, level by level, to the records at fault. A lost or added record moves the later ones of its archive, so the
+records below differing nodes are paired by page id and url, not by place.
 
 Cases: null urls or bodies are written as empty; null page ids form records like others (they sort first); repeated rows
-are records of their own, ordered by their hash; an archive or record that only one replica has is missing or extra; very
+are records of their own, ordered by their hash, and equal ones are paired first; an archive or record that only one replica has is missing or extra; very
 long bodies are hashed whole; empty tables give an empty result; other columns are not passed on.
 """
 
@@ -34,14 +35,14 @@ def record(page_id: Column, url: Column, body: Column) -> Column:
 
 
 def leaves(pages: DataFrame, archives: int) -> DataFrame:
-    """archive, ordinal, page_id, offset, length, sha256 of the record of each page (page_id, url, html)."""
+    """archive, ordinal, key (of page id and url), page_id, offset, length, sha256 of the record of each page (page_id, url, html)."""
     raw = record(F.col("page_id"), F.col("url"), F.col("html"))
     name = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")))
-    out = pages.select("page_id", "url", F.conv(F.substring(F.md5(name.cast("binary")), 1, 7), 16, 10).cast("long").alias("deal"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("sha256"))
+    out = pages.select("page_id", "url", F.md5(name.cast("binary")).alias("key"), F.conv(F.substring(F.md5(name.cast("binary")), 1, 7), 16, 10).cast("long").alias("deal"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw, 256).alias("sha256"))
     out = out.withColumn("archive", (F.col("deal") % archives).cast("int"))
     place = Window.partitionBy("archive").orderBy("page_id", "url", "sha256")
     out = out.withColumn("ordinal", (F.row_number().over(place) - 1).cast("long"))
-    return out.withColumn("offset", F.sum("length").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).select("archive", "ordinal", "page_id", "offset", "length", "sha256")
+    return out.withColumn("offset", F.sum("length").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).select("archive", "ordinal", "key", "page_id", "offset", "length", "sha256")
 
 
 def tree(records: DataFrame, levels: int, fanout: int = FANOUT) -> list[DataFrame]:
@@ -60,21 +61,27 @@ def levels_for(records: DataFrame, fanout: int = FANOUT) -> int:
 
 
 def audit(one: DataFrame, two: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """archive, ordinal, status (damaged, missing, extra; seen from replica one) of the records at fault, and checked, the
-    nodes compared in the archive at the leaves' level. one, two: leaves(), with equal places for equal records."""
+    """archive, ordinal, status (damaged, missing, extra; seen from replica one) of the records at fault. The ordinal is that
+    in replica one, of an extra record that in replica two. one, two: leaves() by the same number of archives."""
     levels = max(levels_for(one, fanout), levels_for(two, fanout))
     mine, theirs = tree(one, levels, fanout), tree(two, levels, fanout)
     suspects = None
-    for level in range(levels, -1, -1):
+    down = lambda df, node: df.withColumn("parent", F.expr(f"{node} div {fanout}")).join(suspects, ["archive", "parent"], "left_semi").drop("parent")
+    for level in range(levels, 0, -1):
         a, b = mine[level], theirs[level].withColumnRenamed("hash", "other")
         if suspects is not None:
-            down = lambda df: df.withColumn("parent", F.expr(f"node div {fanout}")).join(suspects, ["archive", "parent"], "left_semi").drop("parent")  # noqa: B023, E731
-            a, b = down(a), down(b)
+            a, b = down(a, "node"), down(b, "node")
         both = a.join(b, ["archive", "node"], "full")
-        if level:
-            suspects = shared.cut(both.where(~F.col("hash").eqNullSafe(F.col("other"))).select("archive", F.col("node").alias("parent")))
-    status = F.when(F.col("other").isNull(), "missing").when(F.col("hash").isNull(), "extra").otherwise("damaged")
-    return both.where(~F.col("hash").eqNullSafe(F.col("other"))).select("archive", F.col("node").alias("ordinal"), status.alias("status"))
+        suspects = shared.cut(both.where(~F.col("hash").eqNullSafe(F.col("other"))).select("archive", F.col("node").alias("parent")))
+    # nodes that are left out hold equal records on both sides, so what differs below the others is what differs at all
+    same = ["archive", "key", "sha256", "copy"]
+    copies = Window.partitionBy("archive", "key", "sha256").orderBy("ordinal")
+    a, b = (down(x, "ordinal").select("archive", "key", "sha256", "ordinal").withColumn("copy", F.row_number().over(copies)) for x in (one, two))
+    turn = F.row_number().over(Window.partitionBy("archive", "key").orderBy("ordinal"))
+    own, other = (x.join(y, same, "left_anti").select("archive", "key", turn.alias("turn"), "ordinal") for x, y in ((a, b), (b, a)))
+    both = own.join(other.withColumnRenamed("ordinal", "other"), ["archive", "key", "turn"], "full")
+    status = F.when(F.col("other").isNull(), "missing").when(F.col("ordinal").isNull(), "extra").otherwise("damaged")
+    return both.select("archive", F.coalesce("ordinal", "other").alias("ordinal"), status.alias("status"))
 
 
 def op5_fixity(spark, sf_dir: str) -> DataFrame:
@@ -88,7 +95,7 @@ def op5_fixity(spark, sf_dir: str) -> DataFrame:
     bad = F.when(fault == 7, F.concat(F.lit("\u0000"), F.expr("substring(coalesce(html, ''), 2)"))).when(fault == 11, F.expr("left(coalesce(html, ''), greatest(length(coalesce(html, '')) - 1, 0))")).otherwise(html)
     own = shared.cut(leaves(pages, archives))
     replica = shared.cut(leaves(pages.withColumn("html", bad), archives))
-    found = audit(own, replica)
+    found = audit(own, replica).where("status <> 'extra'")  # those have no record here
     return own.join(found, ["archive", "ordinal"], "left").select("page_id", "archive", "ordinal", "offset", "length", "sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
 

@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
-from lexiforge.llm import line_dedup
+from pyspark.sql import functions as F
+
+from lexiforge.llm import line_dedup, warc
 
 RNG = random.Random(17)
 
@@ -35,3 +37,16 @@ def test_line_dedup_of_whole_runs(spark):
         got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
         want = brute_runs(rows, least)
         assert Counter((r.doc_id, r.text) for r in got) == Counter((d, want[d, t]) for d, t in rows)
+
+
+def test_fixity_of_lost_and_added_records(spark):
+    rows = [(k, f"http://x/{k}", f"<p>{k}</p>") for k in range(400)] + [(None, None, None), (7, "http://x/7", "<p>7</p>"), (8, "http://x/8", "other"), (8, "http://x/8", "third")]
+    lost, added = {3, 120}, [(-5, "http://x/-5", "first"), (201, "http://x/moved", "<p>201</p>"), (9, "http://x/9", "<p>9</p>")]
+    kept = [(k, u, "bad" if k == 50 or h == "other" else h) for k, u, h in rows if k not in lost and k != 201] + added
+    schema = "page_id long, url string, html string"
+    one, two = (warc.leaves(spark.createDataFrame(x, schema), 2).cache() for x in (rows, kept))
+    place = lambda df, test: df.select("archive", "ordinal", "page_id").join(warc.audit(one, two).where(test), ["archive", "ordinal"]).select("page_id", "status").collect()
+    assert sorted(map(tuple, place(one, "status <> 'extra'"))) == [(3, "missing"), (8, "damaged"), (50, "damaged"), (120, "missing"), (201, "missing")]
+    assert sorted(map(tuple, place(two, "status = 'extra'"))) == [(-5, "extra"), (9, "extra"), (201, "extra")]
+    other = one.groupBy("archive").agg(F.count("*").alias("n")).count()
+    assert other == 2 and warc.audit(one, one.limit(0)).where("status = 'missing'").count() == len(rows) and warc.audit(one, one).count() == 0
