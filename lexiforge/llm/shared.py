@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiforge.shipping import ship
 
@@ -35,15 +38,52 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_folders: list[str] = []
+
+
 def new_folder(spark: SparkSession, tag: str) -> str:
-    """URI of a new, empty place in the shared folder for files of one run."""
+    """URI of a new, empty place in the shared folder for files of one run; it goes when the application ends, or scope() before."""
     uri = f"{checkpoint_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     ship(spark)
     fs, path = _fs(uri)
     fs.create_dir(path, recursive=True)
+    _folders.append(uri)
     return uri
 
 
+def table(df: DataFrame, uri: str) -> DataFrame:
+    """df as a table in the shared folder: lineage is cut, and lost executors lose nothing of it."""
+    df.write.mode("overwrite").parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
+def remove(uri: str) -> None:
+    """Delete a folder of new_folder() and all that is in it."""
+    fs, path = _fs(uri)
+    if fs.get_file_info(path).type.name != "NotFound":
+        fs.delete_dir(path)
+    if uri in _folders:
+        _folders.remove(uri)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """At the end, delete the folders that were made inside: what was computed from them has to be written by then."""
+    before = set(_folders)
+    try:
+        yield
+    finally:
+        for uri in [x for x in _folders if x not in before]:
+            remove(uri)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for uri in list(_folders):
+        with contextlib.suppress(OSError):
+            remove(uri)
+
+
 def _fs(uri: str):
     from pyarrow import fs
 
@@ -83,6 +123,22 @@ def mapped(uri: str, dtype, offset: int = 0, count: int = -1) -> np.ndarray:
     return np.memmap(path, dtype=dtype, mode="r", offset=offset, shape=(count,))
 
 
+#: Files that a worker keeps mapped at once; the system allows some 65,000 mappings to a process.
+MAPPED = 4096
+
+
+def forget(held: dict) -> None:
+    """Make room in a dictionary of mapped files: the one that came first goes."""
+    while len(held) >= MAPPED:
+        held.pop(next(iter(held)))
+
+
+def part_bits(texts: DataFrame, part_bytes: int) -> int:
+    """Bits that number the parts of a table over the column text, so that a part covers part_bytes of text at any size."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(3, (-(-size // part_bytes) - 1).bit_length())
+
+
 _local: dict[str, str] = {}
 
 

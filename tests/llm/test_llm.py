@@ -83,35 +83,42 @@ def test_secrets(spark):
 # -- op2 ----------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, least):
-    """Later copies cut out, by comparing all windows."""
+def brute_runs(rows, least):
+    """Later copies cut out, by comparing all runs of any length."""
     order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0]))
     seen, gone = {}, {}
     for d, text in order:
         lines = (text or "").split("\n")
         for i in range(len(lines)):
-            n, j = 0, i
-            while j < len(lines) and n < least:
-                n += len(lines[j].split())
-                j += 1
-            if n >= least:
-                key = tuple(x.rstrip() for x in lines[i:j])
-                first = seen.setdefault(key, (d, text, i))
-                if first[:2] != (d, text) or i >= first[2] + len(key):
-                    gone.setdefault((d, text), set()).update(range(i, j))
-    return {(d, t): None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((d, t), ())) for d, t in order}
-
-
-def test_line_dedup(spark, odd, none):
-    pool = [prose(RNG.randint(0, 6)) for _ in range(6)]
-    rows = [(k, "\n".join(RNG.choice(pool) for _ in range(RNG.randint(1, 30)))) for k in range(40)] + [(50, None), (51, ""), (None, pool[1])]
+            for j in range(i + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[i:j]) >= least:
+                    e, p = seen.setdefault(tuple(x.rstrip() for x in lines[i:j]), ((d, text), i))
+                    if e != (d, text) or i >= p + j - i:
+                        gone.setdefault((d, text), set()).update(range(i, j))
+    return {(d, t): t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((d, t), ())) for d, t in order}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_line_dedup(spark, monkeypatch, hot):
+    if hot:  # nearly all intervals count as hot
+        monkeypatch.setattr(line_dedup, "SMALL", 1)
+        monkeypatch.setattr(line_dedup, "SHARE", 1 << 30)
+    pool = [" ".join(RNG.choice("abcdefgh") for _ in range(k)) for k in (0, 1, 2, 3, 5, 9)]
+    rows = [(k, "\n".join(RNG.choice(pool) for _ in range(RNG.randint(1, 15)))) for k in range(30)] + [(50, None), (51, ""), (None, pool[1])]
+    base = [f"{RNG.choice(pool)} {k}" for k in range(20)]
+    rows += [(60, "\n".join(base)), (61, "\n".join(["q", *base[3:17]])), (62, "\n".join(base)), (None, "\n".join(base[:12])), (63, "\n".join(base[5:9] * 4)), (64, "\n".join(base[5:7] + base[8:]))]
     rows += rows[:2]
-    for least in (1, 8, 20):
+    for least in (8,) if hot else (1, 20):
         got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
-        want = brute_lines(rows, least)
+        want = brute_runs(rows, least)
         assert Counter((r.doc_id, r.text) for r in got) == Counter((d, want[d, t]) for d, t in rows)
-    out = line_dedup.dedup_lines(odd.withColumn("n_lines", F.lit("clash"))).collect()
+
+
+def test_line_dedup_of_odd_rows(spark, odd, none):
+    clash = ["n_lines", "n_deleted", "d", "th", "cuts", "_cuts", "d2", "t2", "_lines", "_D", "_th", "pos", "len", "class"]
+    out = line_dedup.dedup_lines(odd.withColumns({c: F.lit("clash") for c in clash})).collect()
     assert len(out) == len(ODD) and {r.doc_id: r.text for r in out}[6] == "" and {r.doc_id: r.text for r in out}[9] == "one\n\nlast"
+    assert all(r[c] == "clash" for r in out for c in clash[2:])
     assert line_dedup.dedup_lines(none).count() == 0
 
 
@@ -134,28 +141,39 @@ def test_sharding(spark, odd, none):
 # -- op4 ----------------------------------------------------------------------------------------------------------------
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("factor, shard_rows", [(1.0, 8192), (1.0, 60), (0.7, 60)])
+def test_nearest(spark, factor, shard_rows):
     rng = np.random.default_rng(1)
     vecs = rng.normal(size=(600, 16)).astype(np.float32)
     vecs[100:140] = vecs[100]
-    rows = [(k, v.tolist(), 0) for k, v in enumerate(vecs)] + [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [None] + [1.0] * 15, 0), (1003, [float("nan")] * 16, 0), (None, [1.0] * 16, 0), (1004, [], 0), (1005, [1.0, 2.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    vecs[200:240] = np.arange(1, 41)[:, None] * vecs[200]  # one direction, so that all tie
+    vecs[300:332] = np.repeat(np.eye(16), 2, axis=0) * np.tile([1, -1], 16)[:, None]  # all as far from each other
+    vecs[400:410] *= np.float32(1e-30)
+    rows = [(k, v.tolist(), 0, "x") for k, v in enumerate(vecs)] + [(1000, None, 0, "x"), (1001, [0.0] * 16, 0, "x"), (1002, [None] + [1.0] * 15, 0, "x"), (1003, [float("nan")] * 16, 0, "x"), (None, [1.0] * 16, 0, "x"), (1004, [], 0, "x"), (1005, [1.0, 2.0], 0, "x"), (1020, [2.0, 2.0], 0, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score string")
     x = vecs.astype(float)
-    for factor, least in ((1.0, 1.0), (0.7, 0.9)):
-        got = vptree.nearest(df, F.col("vec_id") % 20 == 0, 5, factor, shard_rows=150, block_rows=20).collect()
-        found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got}
-        hit = 0
-        for q in range(0, 600, 20):
-            score = (x @ x[q]) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((x[q] * x[q]).sum())
-            score[q] = -9
-            order = sorted(range(600), key=lambda k: (-round(score[k], 12), k))[:5]
-            own = [found[q, k + 1][0] for k in range(5)]
-            hit += len(set(own) & set(order))
-            if factor == 1.0:
-                assert own == order and found[q, 1][1] == pytest.approx(score[order[0]], abs=1e-12)
-        assert hit >= least * 150
-    assert vptree.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
-    assert vptree.nearest(df.where("vec_id IN (0, 1, 2)"), F.col("vec_id") == 0).count() == 2
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    got = vptree.nearest(df, F.col("vec_id") % 20 == 0, 5, factor, shard_rows).collect()
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got}
+    assert len(found) == len(got) == 151
+    hit = 0
+    for q in range(0, 600, 20):
+        score = x @ x[q]
+        score[q] = -9
+        order = sorted(range(600), key=lambda k: (-round(score[k], 12), k))[:5]  # noqa: B023
+        own = [found[q, k + 1][0] for k in range(5)]
+        hit += len(set(own) & set(order))
+        assert [found[q, k + 1][1] for k in range(5)] == pytest.approx(score[own], abs=1e-12)
+        if factor == 1.0:
+            assert own == order
+    assert hit >= 0.9 * 150 and found[1020, 1] == (1005, pytest.approx(3 / 10**0.5))
+
+
+def test_nearest_of_few(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [0.0, 3.0]), (2, [0.0, 3.0])], "vec_id long, embedding array<float>")
+    assert vptree.nearest(rows.limit(0), F.col("vec_id") == 0).count() == 0 and vptree.nearest(rows, F.lit(False)).count() == 0
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in vptree.nearest(rows, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 1.0), (0, 2, 1, 0.707107)]  # an id is looked up with all its vectors
 
 
 # -- op5 ----------------------------------------------------------------------------------------------------------------

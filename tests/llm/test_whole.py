@@ -1,29 +1,9 @@
 """Tests of whole results: what the first round's operators left out."""
 
-import random
-from collections import Counter
-
 from pyspark.sql import functions as F
 
 from lexiforge.llm import line_dedup, warc
 
-RNG = random.Random(17)
-
-
-def brute_runs(rows, least):
-    """Later copies cut out, by comparing all runs of any length."""
-    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0]))
-    seen, gone = {}, {}
-    for d, text in order:
-        lines = (text or "").split("\n")
-        for i in range(len(lines)):
-            for j in range(i + 1, len(lines) + 1):
-                if sum(len(x.split()) for x in lines[i:j]) >= least:
-                    e, p = seen.setdefault(tuple(x.rstrip() for x in lines[i:j]), ((d, text), i))
-                    if e != (d, text) or i >= p + j - i:
-                        gone.setdefault((d, text), set()).update(range(i, j))
-    return {(d, t): t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((d, t), ())) for d, t in order}
-
 
 def test_line_dedup_of_whole_runs(spark):
     text = lambda tag, *sizes: "\n".join(" ".join(f"{tag}{i}_{k}" for k in range(n)) for i, n in enumerate(sizes))
@@ -31,12 +11,6 @@ def test_line_dedup_of_whole_runs(spark):
     rows = [(1, run + "\n" + text("a", 9)), (2, text("b", 9) + "\n" + run + "\n" + text("c", 70))]
     got = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (rows[0][1], 0), 2: (text("b", 9) + "\n" + text("c", 70), 4)}
-    pool = [" ".join(RNG.choice("abcdefgh") for _ in range(k)) for k in (0, 1, 2, 3, 5, 9)]
-    rows = [(k, "\n".join(RNG.choice(pool) for _ in range(RNG.randint(1, 25)))) for k in range(40)] + [(50, None), (51, "")]
-    for least in (1, 6, 12):
-        got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()
-        want = brute_runs(rows, least)
-        assert Counter((r.doc_id, r.text) for r in got) == Counter((d, want[d, t]) for d, t in rows)
 
 
 def test_fixity_of_lost_and_added_records(spark):
