@@ -14,7 +14,7 @@ has its longest run that an earlier copy has too. Members that don't grow stay i
 Runs of min_words words or more are deleted; their first copies stay.
 
 Hot lines and hot intervals: both are summed before they are joined, and those of many members are joined by a broadcast
-of at most 1 / SHARE of all members' number of rows, so no task gets more than a fixed share of the members of one.
+of at most shared.SHARE rows, so no task gets more than a fixed share of all members.
 
 Cases: null texts stay null; empty texts and blank lines have no words; trailing white space of a line does not count;
 rows equal in doc_id and text are one document and share its result; null ids come first; other columns pass through,
@@ -32,8 +32,6 @@ from pyspark.sql import functions as F
 from . import shared
 
 MIN_WORDS = 50
-#: An interval of more than SMALL members and more than 1 / SHARE of all is joined by a broadcast; at most SHARE are.
-SHARE, SMALL = 1 << 14, 1 << 12
 DOC = ("d", "th")
 
 
@@ -57,16 +55,6 @@ def ranked(keys: DataFrame, by: list[str], uri: str) -> DataFrame:
     return held.withColumn("_in", inside).join(F.broadcast(before), "_p").withColumn("place", F.col("_from") + F.col("_in")).drop("_p", "_in", "_from")
 
 
-def attached(rows: DataFrame, table: DataFrame, keys: list[str], largest: int, total: int, how: str = "inner") -> DataFrame:
-    """rows with the columns of table, which has one row and the number c of members, at most largest, for each of the non-null
-    keys. Those of more than a fixed share of total, the number of all rows, are broadcast, which are at most SHARE."""
-    most = max(SMALL, total // SHARE)
-    if largest <= most:
-        return rows.join(table, keys, how)
-    hot = F.broadcast(table.where(F.col("c") > most))
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col("c") <= most), keys, how))
-
-
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """d, th, pos, h1, h2 (the line) and need (lines from here that have min_words words, null if there are not so many) of the
     distinct documents."""
@@ -105,7 +93,7 @@ def array_levels(lines: DataFrame, folder: str) -> tuple[list[Level], int]:
         largest = classes.agg(F.max("c")).first()[0]
         if largest is None:
             return out, total
-        rows = attached(rows, classes.select(*keys, "c", "first", "place"), keys, largest, total)
+        rows = shared.attached(rows, classes.select(*keys, "c", "first", "place"), keys, largest, total)
         level = shared.table(rows.select(*DOC, "pos", "need", F.col("place").alias("rank"), _earlier(F.lit(h)).alias("later")), f"{folder}/level{k}")
         out.append(Level(level, largest))
         on = F.first("rank").over(Window.partitionBy(*DOC).orderBy("pos").rangeBetween(h, h))
@@ -121,7 +109,7 @@ def _grown(state: DataFrame, level: DataFrame, h: int, largest: int, total: int,
     rows = shared.table(rows, f"{folder}/tried{h}")
     some = rows.where("on IS NOT NULL")
     narrow = some.groupBy("class", "on").agg(*_members(), F.max("asks").alias("any")).where("c > 1 AND any")
-    some = attached(some, narrow.drop("any"), ["class", "on"], largest, total, "left").withColumn("grew", F.coalesce(F.col("asks") & _earlier(F.col("len") + h), F.lit(False)))
+    some = shared.attached(some, narrow.drop("any"), ["class", "on"], largest, total, "left").withColumn("grew", F.coalesce(F.col("asks") & _earlier(F.col("len") + h), F.lit(False)))
     deeper = F.struct((F.col("len") + h).alias("len"), F.xxhash64("class", "on", F.lit(h)).alias("class"), F.col("grew").alias("asks"))
     same = F.struct("len", "class", "asks")
     ways = F.when(F.col("c").isNull(), F.array(same)).when(F.col("grew"), F.array(deeper)).otherwise(F.array(same, deeper))

@@ -84,6 +84,25 @@ def _remove_all() -> None:
             remove(uri)
 
 
+#: A key of more than SMALL rows and more than 1 / SHARE of all is joined by a broadcast; at most SHARE keys are.
+SHARE, SMALL = 1 << 14, 1 << 12
+
+
+def hot_rows(total: int) -> int:
+    """Rows of one key beyond which it is hot among total rows."""
+    return max(SMALL, total // SHARE)
+
+
+def attached(rows: DataFrame, counted: DataFrame, keys: list[str], largest: int, total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of counted, which has one row and the number c of rows, at most largest, for each of the non-null
+    keys. The hot ones among total rows are broadcast, which are at most SHARE."""
+    most = hot_rows(total)
+    if largest <= most:
+        return rows.join(counted, keys, how)
+    hot = F.broadcast(counted.where(F.col("c") > most))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(counted.where(F.col("c") <= most), keys, how))
+
+
 def _fs(uri: str):
     from pyarrow import fs
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.llm import bpe, decontam, jaccard, langid, line_dedup, ngram_lm, secrets, sharding, vptree, warc
+from lexiforge.llm import bpe, decontam, jaccard, langid, line_dedup, ngram_lm, secrets, sharding, shared, vptree, warc
 
 DOC = "doc_id long, text string, lang string, source string, key string"
 LOW = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -101,8 +101,8 @@ def brute_runs(rows, least):
 @pytest.mark.parametrize("hot", [False, True])
 def test_line_dedup(spark, monkeypatch, hot):
     if hot:  # nearly all intervals count as hot
-        monkeypatch.setattr(line_dedup, "SMALL", 1)
-        monkeypatch.setattr(line_dedup, "SHARE", 1 << 30)
+        monkeypatch.setattr(shared, "SMALL", 1)
+        monkeypatch.setattr(shared, "SHARE", 1 << 30)
     pool = [" ".join(RNG.choice("abcdefgh") for _ in range(k)) for k in (0, 1, 2, 3, 5, 9)]
     rows = [(k, "\n".join(RNG.choice(pool) for _ in range(RNG.randint(1, 15)))) for k in range(30)] + [(50, None), (51, ""), (None, pool[1])]
     base = [f"{RNG.choice(pool)} {k}" for k in range(20)]
@@ -348,3 +348,18 @@ def test_pipeline_stages(spark, tmp_path):
     none = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path, odd):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, " ".join(LONG.split()[5:25])), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clash = ["n_hit", "items", "spans", "cleaned", "lang_pred", "lang_rejected", "th", "cuts", "_d", "_t", "_k", "class_key", "bpe_n", "n_lines"]
+    docs = odd.withColumns({c: F.lit("own") for c in clash})
+    expected = {"language": 7, "lines": 10, "near_duplicates": 8, "decontamination": 11, "tokens": 11}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        assert out.columns[: len(docs.columns)] == docs.columns and all(r[c] == "own" for r in rows for c in clash)
+        assert len(rows) == expected[name], name
+    assert corpus_pipeline.tokens(spark, docs.withColumn("n_tokens", F.lit("own")), "").columns.count("n_tokens") == 1
