@@ -35,7 +35,7 @@ TARGET_RECALL = 0.9999
 LEVELS = 4
 LEAF = 1024
 SIGNATURE = 64
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 BITS48 = np.uint64((1 << 48) - 1)
 
 
@@ -220,6 +220,12 @@ def _flag_folder(keys: DataFrame) -> str:
     return folder
 
 
+def _by_size(rows: DataFrame, keys: DataFrame, key: str, how: str, most: int) -> DataFrame:
+    """rows joined with keys; both have size, the number of rows of the key. Those of more than most rows are few and broadcast."""
+    hot, cold = (rows.where(test).join(f(keys.where(test).select(key)), key, how) for test, f in ((F.col("size") > most, F.broadcast), (F.col("size") <= most, lambda x: x)))
+    return hot.unionByName(cold)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, target_recall: float = TARGET_RECALL, leaf: int = LEAF) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, text_hash, set_key (null: no words), class_key, class_id,
     n_links (other rows of at least the similarity) and n_text_links (other distinct sets of it)."""
@@ -237,16 +243,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, target_recall: flo
     at = draws(classes.select("set_key", "sig", F.lit(0).cast("long").alias("bucket"), F.expr("cast(array() AS array<int>)").alias("path")), 0).select("bucket", "path", "set_key")
     leaves = None
     for level in range(1, LEVELS + 1):
-        sizes = at.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        at = shared.cut(at.join(sizes, "bucket"))
+        at = shared.cut(at)
+        total = at.count()
+        sizes = shared.cut(at.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"))
+        largest = sizes.agg(F.max("c")).first()[0] or 0
+        at = shared.cut(shared.attached(at, sizes, ["bucket"], largest, total).withColumnRenamed("c", "size"))
         done, big = at, at.where(F.col("size") > leaf)
-        if level < LEVELS and not big.isEmpty():
+        if level < LEVELS and largest > leaf:
             big = big.join(classes.select("set_key", "sig"), "set_key").withColumnRenamed("bucket", "parent").withColumn("bucket", F.col("parent"))
             below = shared.cut(draws(big, level).select("parent", "bucket", "path", "set_key", "size"))
             pairs = below.groupBy("parent", "bucket").agg(F.count("*").alias("c"), F.first("size").alias("size")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("after"), F.first("size").alias("size"))
-            split = shared.cut(pairs.where(F.col("after") < F.col("size") * F.col("size")).select("parent"))
-            done = at.join(split.withColumnRenamed("parent", "bucket"), "bucket", "left_anti")
-            at = below.join(split, "parent").select("bucket", "path", "set_key")
+            split = shared.cut(pairs.where(F.col("after") < F.col("size") * F.col("size")).select("parent", "size"))
+            most = shared.hot_rows(total)
+            done = _by_size(at, split.withColumnRenamed("parent", "bucket"), "bucket", "left_anti", most)
+            at = _by_size(below, split, "parent", "left_semi", most).select("bucket", "path", "set_key")
         else:
             big = None
         leaves = done if leaves is None else leaves.unionByName(done)
