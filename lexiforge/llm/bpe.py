@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from . import shared
 from .texts import chunks, flat, hashes, utf8
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Bytes of text for each part of the table of words.
+PART_BYTES = 16 << 20
 
 
 def default_tokenizer() -> str:
@@ -148,14 +150,15 @@ def build_table(docs: DataFrame, tokenizer: str) -> tuple[str, int]:
     """Encode each distinct word of docs.text once; (folder of the table, bits of the hash that name a part)."""
     spark = docs.sparkSession
     folder = shared.new_folder(spark, "bpe")
-    bits = max(3, (docs.rdd.getNumPartitions() - 1).bit_length())
+    bits = shared.part_bits(docs, PART_BYTES)
+    split = Splitter(tokenizer)  # read here, so that workers don't hold the whole file
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = Splitter(tokenizer), None
+        seen = None
         for batch in chunks(batches, limit=CHUNK):
             words = _pieces(batch, split)[1]
             seen = words if seen is None else pa.concat_arrays([seen, words]).unique()
-            if seen.nbytes > 16 << 20:
+            if seen.nbytes > 8 << 20:
                 yield out(seen)
                 seen = None
         if seen is not None:
@@ -177,8 +180,8 @@ def build_table(docs: DataFrame, tokenizer: str) -> tuple[str, int]:
         tok.no_truncation()
         tok.no_padding()
         ids: list[np.ndarray] = []
-        for at in range(0, len(words), 20_000):
-            ids += [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast([w.decode() for w in words[at : at + 20_000].to_pylist()], add_special_tokens=False)]
+        for at in range(0, len(words), 5_000):
+            ids += [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast([w.decode() for w in words[at : at + 5_000].to_pylist()], add_special_tokens=False)]
         body, offs = flat(words)
         id_offs = np.zeros(len(ids) + 1, np.int64)
         np.cumsum([len(x) for x in ids], out=id_offs[1:])
@@ -199,6 +202,7 @@ class Table:
 
     def _part(self, k: int):
         if k not in self.parts:
+            shared.forget(self.parts)
             uri = f"{self.folder}/{k:06d}.words"
             n, n_ids, n_bytes = (int(x) for x in shared.mapped(uri, np.int64, 0, 3))
             at = 24
@@ -272,10 +276,12 @@ def encode(docs: DataFrame, tokenizer: str | None = None, ids: bool = True, deco
     docs = docs.drop(*names)
     schema = docs.limit(0).select("*", *(F.lit(None).cast(t).alias(n) for n, t in extra)).schema
 
+    # bounded by the vocabulary
+    split, (p_bytes, p_offs) = Splitter(tokenizer), piece_table(tokenizer)
+    p_lens = np.diff(p_offs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, table = Splitter(tokenizer), Table(folder, bits)
-        p_bytes, p_offs = piece_table(tokenizer)
-        p_lens = np.diff(p_offs)
+        table = Table(folder, bits)
         for batch in chunks(batches, limit=CHUNK):
             codes, words, offs = _pieces(batch, split)
             w_ids, w_offs = table.ids(words)

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-A shard is a few MB of whole documents in a task (a longer document is a shard of its own, cut into overlapping pieces
+A shard is some 1.5 MB of whole documents in a task (a longer document is a shard of its own, cut into overlapping pieces
 for the index only). Its word sequence, one separator after each document, gets a suffix array by prefix doubling, the
 Burrows-Wheeler transform in a wavelet matrix, and suffix positions sampled every few words. Windows of the test phrases
 are searched backwards, all at once; occurrences are located by walking to a sampled position; hit words are merged into
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import shared
 from .texts import ALNUM, Words, chunks, split_words, utf8
 
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 19
 #: Bytes of test phrases that are searched together.
 BLOCK_BYTES = 4 << 20
 #: Every so many words a suffix position is kept.

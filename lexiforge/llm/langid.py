@@ -29,7 +29,7 @@ from . import shared
 from .texts import chunks, summed
 
 ORDER = 4
-CHUNK = 2 << 20
+CHUNK = 3 << 18
 MARGIN = 0.5
 Z = 8.0
 RESULTS = {"lang_pred": "string", "lang_score": "double", "lang_surprise": "double", "lang_rejected": "boolean"}

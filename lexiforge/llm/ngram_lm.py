@@ -28,7 +28,11 @@ from . import shared
 from .langid import remainder
 from .texts import NONSPACE, chunks, hashes, mix, split_words, summed, utf8
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Bytes of training text for each part of the tables.
+PART_BYTES = 16 << 20
+#: Bigrams that a counting task holds before it sends them on.
+HELD = 2 << 20
 START, END = 0, 1
 RESULTS = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "lm_score": "double"}
 _SIX = np.uint64((1 << 48) - 1)
@@ -130,7 +134,7 @@ _SUMS = "part int, kind int, ids binary, a binary, b binary, c binary, d binary"
 def train(texts: DataFrame) -> tuple[str, int, dict[str, np.ndarray]]:
     """Count the model of texts.text; (folder, bits of a part, totals)."""
     folder = shared.new_folder(texts.sparkSession, "bigrams")
-    bits = max(3, (texts.rdd.getNumPartitions() - 1).bit_length())
+    bits = shared.part_bits(texts, PART_BYTES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -140,7 +144,7 @@ def train(texts: DataFrame) -> tuple[str, int, dict[str, np.ndarray]]:
             pair, n = summed(distinct_pairs(codes, offs)[0])
             held.append((ids[pair >> 32], ids[pair & 0xFFFFFFFF], n))
             size += len(pair)
-            if size > 3 << 20:
+            if size > HELD:
                 yield from dealt(held)
                 held, size = [], 0
         if held:
@@ -234,6 +238,7 @@ class Model:
             if uri not in self.there:
                 continue
             if k not in self.words_at:
+                shared.forget(self.words_at)
                 size = 8 + np.dtype(_WORD_ROW).itemsize
                 n = len(shared.mapped(uri, np.uint8)) // size
                 self.words_at[k] = shared.mapped(uri, np.uint64, 0, n), shared.mapped(uri, _WORD_ROW, 8 * n, n)
@@ -252,6 +257,7 @@ class Model:
             if uri not in self.there:
                 continue
             if k not in self.pairs_at:
+                shared.forget(self.pairs_at)
                 n, b = (int(x) for x in shared.mapped(uri, np.int64, 0, 2))
                 at = 16 + 4 * ((1 << b) + 1)
                 self.pairs_at[k] = b, shared.mapped(uri, np.uint32, 16, (1 << b) + 1), shared.mapped(uri, np.uint32, at, n), shared.mapped(uri, np.uint32, at + 4 * n, n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a worker takes up at a time; a longer text is taken alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -37,6 +38,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offs - offs[0]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released() -> None:
+    """Give freed memory back to the system, so that a reused worker doesn't keep its largest size."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about limit bytes of text each, so that memory follows the limit and not the batch."""
     for batch in batches:
@@ -49,6 +60,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+            released()
 
 
 @dataclass
