@@ -57,11 +57,6 @@ def spans(word: Column, longest: int = 1 << 20) -> Column:
     return F.when(n > 0, F.flatten(rows).cast("array<struct<i:int,j:int>>")).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
 
 
-def pieces(word: Column, places: Column) -> Column:
-    """Substrings of word at an array of structs i, j."""
-    return F.transform(places, lambda s: F.substring(word, s["i"] + 1, s["j"] - s["i"]))
-
-
 def set_prf(guess: Column, truth: Column) -> Column:
     """struct<p, r, f1> over the distinct elements of two arrays; 0 where nothing is shared."""
     g, t = F.array_distinct(guess), F.array_distinct(truth)
@@ -78,13 +73,10 @@ def edit_distance(guess: Column, truth: Column, sep: str = "#") -> Column:
 
 def strip_brackets(tree: Column) -> Column:
     """Words of a printed tree such as ( a:1 ( b:0 c:2 ) )."""
-    return F.transform(F.regexp_extract_all(tree, F.lit(r"([^() :]+):[0-9]+"), F.lit(1)), lambda w: w)
+    return F.regexp_extract_all(tree, F.lit(r"([^() :]+):[0-9]+"), F.lit(1))
 
 
 def sparse_dot(keys: Column, weights: Column, offset: int = 0, scale: int = 1) -> Column:
     """Sum of weights (a map) at keys * scale + offset; repeated keys count repeatedly, absent ones are 0."""
     return F.aggregate(keys, F.lit(0.0), lambda s, k: s + F.coalesce(F.element_at(weights, k * scale + offset), F.lit(0.0)))
 
-
-def moved_keys(keys: Column, offset: int, scale: int) -> Column:
-    return F.transform(keys, lambda k: k * scale + offset)

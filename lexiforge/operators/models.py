@@ -57,6 +57,9 @@ def chunk_fold(word: Column, table: Column, gt0: list[float], gt: list[list[floa
 
 # -- models in Arrow batches --------------------------------------------------------------------------------------------
 
+#: Words of one length that are taken together.
+TOGETHER = 256
+
 
 def packed(words: DataFrame, potentials: DataFrame) -> DataFrame:
     """word_id, word and its scores as parallel arrays."""
@@ -64,23 +67,41 @@ def packed(words: DataFrame, potentials: DataFrame) -> DataFrame:
     return words.select("word_id", "word").join(rows, "word_id")
 
 
-def _dense(row, labels: int) -> np.ndarray:
-    n = len(row.word)
-    out = np.full((n + 1, n + 1, labels), dp.NEG)
-    out[np.asarray(row.i), np.asarray(row.j), np.asarray(row.y)] = row.score
+def packed_table(words: DataFrame, labels: int, score: Callable[[Column, Column], Column]) -> DataFrame:
+    """word_id, word and the scores of all its segments by an expression score(segment, label), without a shuffle."""
+    return words.select("word_id", "word", F.flatten(F.flatten(chunk_table(F.col("word"), labels, score))).alias("scores"))
+
+
+def _dense(rows: pd.DataFrame, labels: int) -> np.ndarray:
+    """Scores [word, i, j, label] of words of one length."""
+    n = len(rows["word"].iloc[0])
+    out = np.full((len(rows), n + 1, n + 1, labels), dp.NEG)
+    if "scores" in rows:
+        i, j = np.triu_indices(n + 1, 1)
+        out[:, i, j] = np.stack([np.asarray(x, float) for x in rows["scores"]]).reshape(len(rows), len(i), labels)
+    else:
+        word = np.repeat(np.arange(len(rows)), [len(x) for x in rows["i"]])
+        out[(word, *(np.concatenate([np.asarray(x) for x in rows[c]]) for c in ("i", "j", "y")))] = np.concatenate([np.asarray(x) for x in rows["score"]])
     return out
 
 
-def _mapped(df: DataFrame, schema: str, each: Callable) -> DataFrame:
-    """Rows that each(row) yields for every row of df."""
+def _spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a few MB of words are hours of work, which Spark would put into one task by their size."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _mapped(df: DataFrame, schema: str, each: Callable[[pd.DataFrame], Iterator[tuple]], by: tuple[str, ...] = ("word",), spread: bool = True) -> DataFrame:
+    """Rows that each(rows) yields for rows of df whose strings by have the same lengths."""
+    names = [x.strip().split(" ")[0] for x in _fields(schema)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.strip().split(" ")[0] for x in _fields(schema)]
         for pdf in batches:
-            yield pd.DataFrame([out for row in pdf.itertuples(index=False) for out in each(row)], columns=names)
+            for _, own in pdf.groupby([pdf[c].str.len() for c in by], sort=True):
+                for at in range(0, len(own), TOGETHER):
+                    yield pd.DataFrame(list(each(own.iloc[at : at + TOGETHER])), columns=names)
 
     ship(df.sparkSession)
-    return df.mapInPandas(run, schema)
+    return (_spread(df) if spread and not df.isStreaming else df).mapInPandas(run, schema)
 
 
 def _fields(schema: str) -> list[str]:
@@ -97,48 +118,73 @@ def _fields(schema: str) -> list[str]:
 SPANS = "array<struct<i:int,j:int>>"
 
 
+def _chunks(rows: pd.DataFrame, gt0, gt) -> dp.ChunkBatch:
+    return dp.ChunkBatch(_dense(rows, len(gt0)).transpose(0, 3, 1, 2), np.array(gt0), np.array(gt))
+
+
 def decode_chunks(scored: DataFrame, gt0: list[float], gt: list[list[float]]) -> DataFrame:
     """word_id, word, score, spans, labels, segments, log_z."""
 
-    def each(row):
-        m = dp.Chunks(_dense(row, len(gt0)).transpose(2, 0, 1), np.array(gt0), np.array(gt))
-        score, spans, labels = m.decode()
-        yield row.word_id, row.word, score, [{"i": i, "j": j} for i, j in spans], labels, [row.word[i:j] for i, j in spans], m.log_z()
+    def each(rows):
+        model = _chunks(rows, gt0, gt)
+        for key, word, (score, spans, labels), z in zip(rows["word_id"], rows["word"], model.decode(), model.log_z(), strict=True):
+            yield key, word, score, [{"i": i, "j": j} for i, j in spans], labels, [word[i:j] for i, j in spans], z
 
     return _mapped(scored, f"word_id long, word string, score double, spans {SPANS}, labels array<int>, segments array<string>, log_z double", each)
 
 
+def _cells(rows: pd.DataFrame, p: np.ndarray) -> Iterator[tuple]:
+    """word_id, i, j, y, p of the positive cells of p[word, i, j, y]."""
+    at = np.nonzero(p > 0)
+    ids = rows["word_id"].to_numpy()
+    yield from zip(ids[at[0]].tolist(), *(x.tolist() for x in at[1:]), p[at].tolist(), strict=True)
+
+
 def chunk_posteriors(scored: DataFrame, gt0: list[float], gt: list[list[float]]) -> DataFrame:
     """word_id, i, j, y, p: probability of each labelled segment."""
+    return _mapped(scored, "word_id long, i int, j int, y int, p double", lambda rows: _cells(rows, _chunks(rows, gt0, gt).posteriors().sum(axis=1).transpose(0, 2, 3, 1)))
+
+
+def chunk_transitions(scored: DataFrame, gt0: list[float], gt: list[list[float]]) -> DataFrame:
+    """before (-1 at the start), y, p: expected number of transitions, summed over words."""
 
-    def each(row):
-        p = dp.Chunks(_dense(row, len(gt0)).transpose(2, 0, 1), np.array(gt0), np.array(gt)).posteriors().sum(axis=0)
-        for y, i, j in np.argwhere(p > 0):
-            yield row.word_id, i, j, y, p[y, i, j]
+    def each(rows):
+        p = _chunks(rows, gt0, gt).posteriors()
+        for y, v in enumerate(p[:, 0, :, 0].sum(axis=(0, 2))):
+            yield -1, y, float(v)
+        for (b, y), v in np.ndenumerate(p[:, :, :, 1:].sum(axis=(0, 3, 4))):
+            yield b, y, float(v)
 
-    return _mapped(scored, "word_id long, i int, j int, y int, p double", each)
+    return _mapped(scored, "before int, y int, p double", each).groupBy("before", "y").agg(F.sum("p").alias("p"))
+
+
+def chunk_transitions_by_word(scored: DataFrame, gt0: list[float], gt: list[list[float]]) -> DataFrame:
+    """word_id, before (-1 at the start), y, p: expected number of transitions of each word."""
+
+    def each(rows):
+        p = _chunks(rows, gt0, gt).posteriors()
+        start, inner = p[:, 0, :, 0].sum(axis=2), p[:, :, :, 1:].sum(axis=(3, 4))
+        for key, one, more in zip(rows["word_id"], start, inner, strict=True):
+            yield from ((key, -1, y, float(v)) for y, v in enumerate(one))
+            yield from ((key, b, y, float(v)) for (b, y), v in np.ndenumerate(more))
+
+    return _mapped(scored, "word_id long, before int, y int, p double", each)
 
 
 def decode_trees(scored: DataFrame, labels: int = 3) -> DataFrame:
     """word_id, word, score, tree (printed), spans (preorder), labels, log_z."""
 
-    def each(row):
-        m = dp.Trees(_dense(row, labels))
-        score, nodes = m.decode()
-        yield row.word_id, row.word, score, dp.printed(row.word, nodes), [{"i": i, "j": j} for i, j, _, _ in nodes], [g for _, _, g, _ in nodes], m.log_z()
+    def each(rows):
+        model = dp.TreeBatch(_dense(rows, labels))
+        for key, word, (score, nodes), z in zip(rows["word_id"], rows["word"], model.decode(), model.log_z(), strict=True):
+            yield key, word, score, dp.printed(word, nodes), [{"i": i, "j": j} for i, j, _, _ in nodes], [g for _, _, g, _ in nodes], z
 
     return _mapped(scored, f"word_id long, word string, score double, tree string, spans {SPANS}, labels array<int>, log_z double", each)
 
 
 def tree_posteriors(scored: DataFrame, labels: int = 3) -> DataFrame:
     """word_id, i, j, y, p: probability that the tree has the node."""
-
-    def each(row):
-        p = dp.Trees(_dense(row, labels)).marginals()
-        for i, j, y in np.argwhere(p > 0):
-            yield row.word_id, i, j, y, p[i, j, y]
-
-    return _mapped(scored, "word_id long, i int, j int, y int, p double", each)
+    return _mapped(scored, "word_id long, i int, j int, y int, p double", lambda rows: _cells(rows, dp.TreeBatch(_dense(rows, labels)).marginals()))
 
 
 @dataclass
@@ -152,6 +198,8 @@ class TransducerScorer:
     pairs: dict[tuple[str, str], float] = field(default_factory=dict)
     after: dict[tuple[str, str, str], float] = field(default_factory=dict)
     extra: int = 6
+    band: int | None = None
+    max_y: int | None = None
 
     def __post_init__(self):
         if len(self.pairs) + len(self.after) > MOST_WEIGHTS:
@@ -172,7 +220,16 @@ class TransducerScorer:
         return self._known[x]
 
     def on(self, word: str) -> dp.Transducer:
-        return dp.Transducer(self.automaton, word, self, self.extra)
+        return dp.Transducer(self.automaton, word, self, self.extra, band=self.band, max_y=self.max_y)
+
+    def together(self, words: list[str]) -> dp.TransducerBatch:
+        """Words of one length."""
+        tables = np.stack([np.full((len(self.symbols), len(self.contexts)), dp.NEG)] + [self(0, x) for x in self.symbols])
+        place = {x: k + 1 for k, x in enumerate(self.symbols)}
+        code = np.array([[place.get(c, 0) for c in w] for w in words]).reshape(len(words), -1)
+        n = len(words[0])
+        moves = [[(i, tables[1][None])] + ([(i + 1, tables[code[:, i]])] if i < n else []) for i in range(n + 1)]
+        return dp.TransducerBatch(self.automaton, n, moves, self.extra, self.band, self.max_y)
 
 
 def seeded(seed: int, word: str) -> np.random.Generator:
@@ -182,23 +239,36 @@ def seeded(seed: int, word: str) -> np.random.Generator:
 def transduce(words: DataFrame, scorer: TransducerScorer) -> DataFrame:
     """word_id, word, score, ur, log_z: the best output and the log partition function."""
 
-    def each(row):
-        t = scorer.on(row.word)
-        score, ur, _ = t.decode()
-        yield row.word_id, row.word, score, ur, t.log_z()
+    def each(rows):
+        t = scorer.together(rows["word"].tolist())
+        for key, word, (score, ur, _), z in zip(rows["word_id"], rows["word"], t.decode(), t.log_z(), strict=True):
+            yield key, word, score, ur, z
 
     return _mapped(words.select("word_id", "word"), "word_id long, word string, score double, ur string, log_z double", each)
 
 
 def clamped(pairs: DataFrame, scorer: TransducerScorer) -> DataFrame:
-    """word_id, ur, clamped, ll, in_support of pairs (word_id, word, ur); outputs beyond the length limit are out of support."""
+    """word_id, ur, clamped, ll, in_support of pairs (word_id, word, ur); outputs beyond the length limit are out of support, and
+    their ll is negative infinity."""
+
+    def each(rows):
+        words, urs = rows["word"].tolist(), rows["ur"].tolist()
+        t = scorer.together(words)
+        score, inside = t.clamped(urs)[:, 0, 0], len(urs[0]) <= t.most
+        ll = score - t.log_z() if inside else np.full(len(words), dp.NEG)
+        yield from zip(rows["word_id"], urs, score, ll, [inside] * len(words), strict=True)
+
+    return _mapped(pairs.select("word_id", "word", "ur"), "word_id long, ur string, clamped double, ll double, in_support boolean", each, ("word", "ur"))
+
+
+def best_alignments(pairs: DataFrame, scorer: TransducerScorer) -> DataFrame:
+    """word, ur, score of the best alignment of pairs (word, ur)."""
 
-    def each(row):
-        t = scorer.on(row.word)
-        c = t.clamped(row.ur)[0]
-        yield row.word_id, row.ur, c, c - t.log_z(), len(row.ur) <= len(row.word) + scorer.extra
+    def each(rows):
+        urs = rows["ur"].tolist()
+        yield from zip(rows["word"], urs, scorer.together(rows["word"].tolist()).clamped(urs, dp.best)[:, 0, 0], strict=True)
 
-    return _mapped(pairs.select("word_id", "word", "ur"), "word_id long, ur string, clamped double, ll double, in_support boolean", each)
+    return _mapped(pairs.select("word", "ur"), "word string, ur string, score double", each, ("word", "ur"))
 
 
 def candidates(words: DataFrame, scorer: TransducerScorer, mode: str, num: int = 1000, seed: int = 1) -> DataFrame:
@@ -209,12 +279,14 @@ def candidates(words: DataFrame, scorer: TransducerScorer, mode: str, num: int =
     if mode in ("baseline", "oracle"):
         return words.select("word_id", "word", F.lit(0).alias("pos"), F.col("word" if mode == "baseline" else "ur_gold").alias("ur"), F.lit(mode).alias("source"), F.lit(1).cast("long").alias("n"))
 
-    def each(row):
-        t = scorer.on(row.word)
-        yield row.word_id, row.word, 0, t.decode()[1], "best", 1
-        if mode == "sample":
-            for k, (ur, n) in enumerate(sorted(t.sample(num, seeded(seed, row.word)).items(), key=lambda x: (-x[1], x[0]))):
-                yield row.word_id, row.word, k + 1, ur, "sample", n
+    def each(rows):
+        own = rows["word"].tolist()
+        t = scorer.together(own)
+        drawn = t.sample(num, [seeded(seed, w) for w in own]) if mode == "sample" else [{}] * len(own)
+        for key, word, (_, ur, _), counts in zip(rows["word_id"], own, t.decode(), drawn, strict=True):
+            yield key, word, 0, ur, "best", 1
+            for k, (out, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))):
+                yield key, word, k + 1, out, "sample", n
 
     return _mapped(words.select("word_id", "word"), "word_id long, word string, pos int, ur string, source string, n long", each)
 
@@ -252,9 +324,10 @@ def transduce_scored(scored: DataFrame, symbols: list[str], contexts: list[str],
     """word_id, word, score, ur, log_z by scores from features."""
     automaton = dp.Automaton(symbols, contexts)
 
-    def each(row):
-        t = scored_transducer(row, automaton, extra)
-        score, ur, _ = t.decode()
-        yield row.word_id, row.word, score, ur, t.log_z()
+    def each(rows):
+        for row in rows.itertuples(index=False):
+            t = scored_transducer(row, automaton, extra)
+            score, ur, _ = t.decode()
+            yield row.word_id, row.word, score, ur, t.log_z()
 
     return _mapped(scored, "word_id long, word string, score double, ur string, log_z double", each)

@@ -1,15 +1,29 @@
-"""Training loops: batch steps as joins over feature weights, exact sequential steps for small sets, and joint reweighting."""
+"""Training loops: batch steps as joins over feature weights, for one model or for both jointly."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge import functions as L
 from lexiforge.operators import dp, models, tables
 from lexiforge.operators.optimizer import AdaGrad
-from lexiforge.shipping import ship
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the folder of spark.checkpoint.dir, which the session must name."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not root:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(root)
+    return df.checkpoint()
 
 
 def chunk_gradient(scored: DataFrame, gold: DataFrame, gt0: list[float], gt: list[list[float]]) -> DataFrame:
@@ -24,65 +38,129 @@ def tree_gradient(scored: DataFrame, gold: DataFrame, labels: int = 3) -> DataFr
     return expected.union(gold.select("word_id", "i", "j", "y", F.lit(-1.0))).groupBy("word_id", "i", "j", "y").agg(F.sum("g").alias("g"))
 
 
-def train(words: DataFrame, gold: DataFrame, kind: str = "chunk", labels: int = 3, iterations: int = 20, optimizer: AdaGrad | None = None, features: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+def transition_keys(labels: int) -> dict[tuple[int, int], int]:
+    """(label before, -1 for none; label): its weight's slot. A label has a weight, and each pair of labels that follow each other."""
+    names = {(b, y): f"tag:{b}" if b >= 0 else "tag" for b in range(-1, labels) for y in range(labels)}
+    return {at: (int(hashlib.md5(name.encode()).hexdigest()[:7], 16) * labels + at[1]) % L.SLOTS for at, name in names.items()}
+
+
+def transitions(weights: DataFrame, labels: int = 3, default: float = -0.1) -> tuple[list[float], list[list[float]]]:
+    """(gt0, gt) of the weights (k, w): the label's weight, and behind another label that of the pair too. labels * (labels + 1) rows are read."""
+    keys = transition_keys(labels)
+    known = {r.k: r.w for r in weights.where(F.col("k").isin(list(keys.values()))).select("k", "w").collect()}
+    w = {at: known.get(k, default) for at, k in keys.items()}
+    return [w[-1, y] for y in range(labels)], [[w[-1, y] + w[b, y] for y in range(labels)] for b in range(labels)]
+
+
+def transition_gradient(scored: DataFrame, gold: DataFrame, gt0: list[float], gt: list[list[float]]) -> DataFrame:
+    """k, g of the negative log-likelihood by the weights of labels and pairs of labels."""
+    labels = len(gt0)
+    before = F.coalesce(F.lag("y").over(Window.partitionBy("word_id").orderBy("i")), F.lit(-1))
+    path = gold.select(before.alias("before"), "y").groupBy("before", "y").agg((-F.count("*")).cast("double").alias("p"))
+    sums = models.chunk_transitions(scored, gt0, gt).union(path).groupBy("before", "y").agg(F.sum("p").alias("g"))
+    return _transition_slots(sums, labels)
+
+
+def _transition_slots(sums: DataFrame, labels: int) -> DataFrame:
+    """k, g of sums (before, y, g)."""
+    named = sums.sparkSession.createDataFrame([(b, y, k) for (b, y), k in transition_keys(labels).items()], "before int, y int, k long")
+    own = sums.join(F.broadcast(named), ["before", "y"]).select("k", "g")
+    label = sums.where("before >= 0").join(F.broadcast(named.where("before = -1").select("y", "k")), "y").select("k", "g")
+    return own.union(label).groupBy("k").agg(F.sum("g").alias("g"))
+
+
+def _scored(words: DataFrame, features: DataFrame, weights: DataFrame, labels: int, optimizer: AdaGrad) -> DataFrame:
+    return models.packed(words, tables.potentials(features, weights, labels, optimizer.initial_w))
+
+
+def segmenter_gradient(words: DataFrame, gold: DataFrame, features: DataFrame, weights: DataFrame, kind: str, labels: int, optimizer: AdaGrad) -> DataFrame:
+    """k, g of the negative log-likelihood of gold (word_id, i, j, y) by all weights of a chunk or tree model."""
+    scored = _scored(words, features, weights, labels, optimizer)
+    if kind == "tree":
+        return tables.gradient_by_feature(features, tree_gradient(scored, gold, labels), labels)
+    gt0, gt = transitions(weights, labels, optimizer.initial_w)
+    own = tables.gradient_by_feature(features, chunk_gradient(scored, gold, gt0, gt), labels)
+    return own.union(transition_gradient(scored, gold, gt0, gt)).groupBy("k").agg(F.sum("g").alias("g"))
+
+
+def no_weights(spark) -> DataFrame:
+    return spark.createDataFrame([], "k long, w double, q double, u int")
+
+
+def segmented(words: DataFrame, features: DataFrame, weights: DataFrame, kind: str, labels: int = 3, default: float = -0.1) -> DataFrame:
+    """The decoded words (word_id, word) by weights: decode_chunks or decode_trees."""
+    scored = models.packed(words, tables.potentials(features, weights, labels, default))
+    return models.decode_chunks(scored, *transitions(weights, labels, default)) if kind == "chunk" else models.decode_trees(scored, labels)
+
+
+def train(words: DataFrame, gold: DataFrame, kind: str = "chunk", labels: int = 3, iterations: int = 20, optimizer: AdaGrad | None = None, features: DataFrame | None = None, each_epoch: Callable[[int, DataFrame], None] | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """(weights, metrics of each epoch: words and mean log_z) of a chunk or tree model. One batch step for each epoch:
-    potentials by a join, posteriors in Arrow batches, the gradient summed by feature, the update by a join. Lineage is cut
-    by a checkpoint after each."""
+    potentials by a join, posteriors in Arrow batches, the gradient summed by feature, the update by a join. Labels and pairs
+    of labels have weights of their own. Lineage is cut by a checkpoint after each; each_epoch(epoch, weights) is called then."""
     if kind not in ("chunk", "tree"):
         raise ValueError(f"unknown kind {kind}")
     optimizer = optimizer or AdaGrad()
     features = tables.chunk_features(words) if features is None and kind == "chunk" else tables.tree_features(words) if features is None else features
-    weights = words.sparkSession.createDataFrame([], "k long, w double, q double, u int")
-    zero0, zero = [0.0] * labels, [[0.0] * labels] * labels
-    metrics = []
+    weights, metrics = no_weights(words.sparkSession), []
     for step in range(1, iterations + 1):
-        scored = models.packed(words, tables.potentials(features, weights, labels, optimizer.initial_w))
-        gradient = chunk_gradient(scored, gold, zero0, zero) if kind == "chunk" else tree_gradient(scored, gold, labels)
-        decoded = models.decode_chunks(scored, zero0, zero) if kind == "chunk" else models.decode_trees(scored, labels)
-        metrics.append(decoded.agg(F.count("*").alias("words"), F.avg("log_z").alias("log_z")))
-        weights = optimizer.step(weights, tables.gradient_by_feature(features, gradient, labels), step).checkpoint()
+        metrics.append(segmented(words, features, weights, kind, labels, optimizer.initial_w).agg(F.count("*").alias("words"), F.avg("log_z").alias("log_z")))
+        weights = checkpointed(optimizer.step(weights, segmenter_gradient(words, gold, features, weights, kind, labels, optimizer), step))
+        if each_epoch is not None:
+            each_epoch(step, optimizer.finalize(weights, step + 1))
     return optimizer.finalize(weights, iterations + 1), metrics
 
 
-def sequential(spark_rows: DataFrame, kind: str, labels: int, iterations: int, optimizer: AdaGrad) -> DataFrame:
-    """k, w, q, u after word-by-word steps in order of line_no, in one group: for small sets only. Rows: line_no, word,
-    features (array<struct<i, j, k: base key>>), gold (array<struct<i, j, y>>)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, q, u, step = {}, {}, {}, 1
-        for _ in range(iterations):
-            for row in pdf.sort_values("line_no").itertuples(index=False):
-                n = len(row.word)
-                psi = np.full((n + 1, n + 1, labels), dp.NEG)
-                for f in row.features:
-                    for y in range(labels):
-                        k = (f["k"] * labels + y) % (1 << 22)
-                        if k in w:
-                            late = max(step - u[k], 0)
-                            root = np.sqrt(q[k])
-                            w[k], u[k] = (w[k] * (root / (optimizer.eta * optimizer.c + root)) ** late if optimizer.norm == 2 else w[k]), step
-                        value = w.get(k, optimizer.initial_w)
-                        psi[f["i"], f["j"], y] = value if psi[f["i"], f["j"], y] == dp.NEG else psi[f["i"], f["j"], y] + value
-                gold = [(x["i"], x["j"], x["y"]) for x in row.gold]
-                if kind == "tree":
-                    grad = -dp.Trees(psi).gradient(gold)
-                else:
-                    grad = -dp.Chunks(psi.transpose(2, 0, 1), np.zeros(labels), np.zeros((labels, labels))).gradient([g[:2] for g in gold], [g[2] for g in gold])[0].transpose(1, 2, 0)
-                for f in row.features:
-                    for y in range(labels):
-                        g = grad[f["i"], f["j"], y]
-                        if g:
-                            k = (f["k"] * labels + y) % (1 << 22)
-                            q[k] = q.get(k, optimizer.initial_q) + g * g
-                            root = np.sqrt(q[k])
-                            old = w.get(k, optimizer.initial_w)
-                            w[k] = (old * root - optimizer.eta * g) / (optimizer.eta * optimizer.c + root) if optimizer.norm == 2 else old - optimizer.eta * g / root
-                            u[k] = step + 1
-                step += 1
-        return pd.DataFrame({"k": list(w), "w": list(w.values()), "q": [q[k] for k in w], "u": [u[k] for k in w]})
-
-    ship(spark_rows.sparkSession)
-    return spark_rows.groupBy(F.lit(1)).applyInPandas(run, "k long, w double, q double, u int")
+def weighted_segmenter_gradient(weighted: DataFrame, gold: DataFrame, weights: DataFrame, kind: str, labels: int, optimizer: AdaGrad) -> DataFrame:
+    """k, g of the negative expected log-partition of sampled forms under importance weights, and of the gold analysis: with the
+    joint score of a form being its transducer score plus the segmenter's log partition function, the gradient of the gold
+    form's joint log-likelihood by the segmenter is the gold counts less the weighted posteriors.
+
+    weighted: word_id, ur, weight; gold: word_id, ur, i, j, y."""
+    forms = weighted.select(F.xxhash64("word_id", "ur").alias("form"), "word_id", F.col("ur").alias("word"), "weight")
+    own = forms.select(F.col("form").alias("word_id"), "word")
+    true = gold.select(F.xxhash64("word_id", "ur").alias("word_id"), "ur", "i", "j", "y")
+    every = own.union(true.select("word_id", F.col("ur").alias("word"))).distinct()
+    features = tables.chunk_features(every) if kind == "chunk" else tables.tree_features(every)
+    scored = _scored(own, features, weights, labels, optimizer)
+    share = forms.select(F.col("form").alias("word_id"), "weight")
+    parts = []
+    if kind == "chunk":
+        gt0, gt = transitions(weights, labels, optimizer.initial_w)
+        p = models.chunk_posteriors(scored, gt0, gt)
+        # transitions are weighted word by word
+        per = models.chunk_transitions_by_word(scored, gt0, gt).join(share, "word_id").groupBy("before", "y").agg(F.sum(F.col("p") * F.col("weight")).alias("p"))
+        before = F.coalesce(F.lag("y").over(Window.partitionBy("word_id").orderBy("i")), F.lit(-1))
+        path = true.select(before.alias("before"), "y").groupBy("before", "y").agg((-F.count("*")).cast("double").alias("p"))
+        parts.append(_transition_slots(per.union(path).groupBy("before", "y").agg(F.sum("p").alias("g")), labels))
+    else:
+        p = models.tree_posteriors(scored, labels)
+    cells = p.join(share, "word_id").select("word_id", "i", "j", "y", (F.col("p") * F.col("weight")).alias("g"))
+    cells = cells.union(true.select("word_id", "i", "j", "y", F.lit(-1.0))).groupBy("word_id", "i", "j", "y").agg(F.sum("g").alias("g"))
+    parts.append(tables.gradient_by_feature(features, cells, labels))
+    return reduce(DataFrame.union, parts).groupBy("k").agg(F.sum("g").alias("g"))
+
+
+def joint(words: DataFrame, gold: DataFrame, scorer: models.TransducerScorer, weights: DataFrame, kind: str = "chunk", labels: int = 3, iterations: int = 5, samples: int = 10, eta: float = 0.1, optimizer: AdaGrad | None = None, seed: int = 1) -> tuple[models.TransducerScorer, DataFrame, list[float]]:
+    """(scorer, weights, mean joint log-likelihood of the gold forms among the candidates in each epoch) after training both
+    models together: draw forms, weigh them by their joint score, step both models by the weights.
+
+    words: word_id, word, ur_gold; gold: word_id, ur (the gold form), i, j, y. The gold form is always a candidate."""
+    optimizer, told = optimizer or AdaGrad(), []
+    truth = words.select("word_id", F.col("ur_gold").alias("ur"))
+    for step in range(1, iterations + 1):
+        cands = models.candidates(words, scorer, "sample", samples, seed + step).select("word_id", "word", "ur")
+        cands = checkpointed(cands.union(words.select("word_id", "word", F.col("ur_gold").alias("ur"))).distinct())
+        forms = cands.select(F.xxhash64("word_id", "ur").alias("word_id"), F.col("ur").alias("word")).distinct()
+        features = tables.chunk_features(forms) if kind == "chunk" else tables.tree_features(forms)
+        seg = segmented(forms, features, weights, kind, labels, optimizer.initial_w).select(F.col("word_id").alias("form"), "log_z")
+        ll = models.clamped(cands, scorer).where("in_support").select("word_id", "ur", "ll")
+        scores = ll.withColumn("form", F.xxhash64("word_id", "ur")).join(seg, "form").select("word_id", "ur", (F.col("ll") + F.col("log_z")).alias("score"))
+        weighted = checkpointed(importance(cands, scores).select("word_id", "ur", "weight"))
+        told.append(weighted.join(truth, ["word_id", "ur"]).agg(F.avg(F.log("weight"))).first()[0])
+        gradient = weighted_segmenter_gradient(weighted, gold, weights, kind, labels, optimizer)
+        weights = checkpointed(optimizer.step(weights, gradient, step))
+        scorer = joint_step(words, truth.withColumn("weight", F.lit(1.0)), weighted, scorer, eta)
+    return scorer, optimizer.finalize(weights, iterations + 1), told
 
 
 def importance(cands: DataFrame, scores: DataFrame) -> DataFrame:
@@ -90,37 +168,54 @@ def importance(cands: DataFrame, scores: DataFrame) -> DataFrame:
     return models.softmax(cands.select("word_id", "ur").distinct().join(scores, ["word_id", "ur"]))
 
 
-def joint_step(words: DataFrame, weighted: DataFrame, scorer: models.TransducerScorer, eta: float) -> models.TransducerScorer:
-    """The scorer after one ascent step on pair weights, with outputs weighted by importance (word_id, ur, weight)."""
-    rows = words.select("word_id", "word").join(weighted.groupBy("word_id").agg(F.collect_list(F.struct("ur", "weight")).alias("outs")), "word_id")
+def _pair_sums(rows: DataFrame, scorer: models.TransducerScorer, arcs: Callable[[dp.Transducer, object], list]) -> dict[tuple[str, str], float]:
+    """Sums over rows of the arc values that arcs(transducer, row) gives, by pair of symbols."""
+    if len(scorer.symbols) ** 2 > models.MOST_WEIGHTS:
+        raise ValueError(f"more than {models.MOST_WEIGHTS} pairs of symbols")
 
-    def each(row):
-        t = scorer.on(row.word)
-        for i, (own, grads) in enumerate(zip(t.moves, t.weighted_gradient({o["ur"]: o["weight"] for o in row.outs}), strict=True)):
-            for (j, _), g in zip(own, grads, strict=True):
-                for y, v in enumerate(g.sum(axis=1)):
-                    if v:
-                        yield row.word[i:j], scorer.symbols[y], float(v)
+    def each(group):
+        for row in group.itertuples(index=False):
+            t = scorer.on(row.word)
+            for i, (own, values) in enumerate(zip(t.moves, arcs(t, row), strict=True)):
+                for (j, _), v in zip(own, values, strict=True):
+                    yield from ((row.word[i:j], scorer.symbols[y], float(x)) for y, x in enumerate(v.sum(axis=1)) if x)
 
     sums = models._mapped(rows, "x string, y string, g double", each).groupBy("x", "y").agg(F.sum("g").alias("g"))
-    # bounded by the square of the alphabet
-    pairs = dict(scorer.pairs)
-    for x, y, g in sums.collect():
-        pairs[x, y] = pairs.get((x, y), 0.0) + eta * g
-    return models.TransducerScorer(scorer.symbols, scorer.contexts, scorer.copy, scorer.change, pairs, scorer.after, scorer.extra)
+    return {(r.x, r.y): r.g for r in sums.collect()}  # at most the square of the alphabet, which is checked
+
+
+def _moved(scorer: models.TransducerScorer, sums: dict[tuple[str, str], float], eta: float, c: float = 0.0) -> models.TransducerScorer:
+    pairs = {k: (scorer.pairs.get(k, 0.0) + eta * sums.get(k, 0.0)) / (1 + eta * c) for k in scorer.pairs.keys() | sums.keys()}
+    return replace(scorer, pairs=pairs)
+
+
+def scorer_step(words: DataFrame, scorer: models.TransducerScorer, eta: float, c: float = 0.0) -> models.TransducerScorer:
+    """The scorer after one ascent step of the mean log-likelihood of words (word, ur_gold) by its pair weights, which c shrinks."""
+    n = max(words.count(), 1)
+    inside = words.select("word", "ur_gold").where(F.length("ur_gold") <= F.length("word") + scorer.extra)
+    return _moved(scorer, _pair_sums(inside, scorer, lambda t, row: t.gradient(row.ur_gold)), eta / n, c * n)
+
+
+def joint_step(words: DataFrame, truth: DataFrame, weighted: DataFrame, scorer: models.TransducerScorer, eta: float) -> models.TransducerScorer:
+    """The scorer after one ascent step on pair weights: expected arcs of the true outputs less those of the outputs by importance
+    (both word_id, ur, weight)."""
+    both = truth.select("word_id", "ur", "weight").union(weighted.select("word_id", "ur", (-F.col("weight")).alias("weight"))).groupBy("word_id", "ur").agg(F.sum("weight").alias("weight"))
+    rows = words.select("word_id", "word").join(both, "word_id").select("word", "ur", "weight")
+    return _moved(scorer, _pair_sums(rows, scorer, lambda t, row: [[row.weight * v for v in own] for own in t.expected_clamped(row.ur)]), eta)
 
 
 def transducer_gradient(scored: DataFrame, gold: DataFrame, symbols: list[str], contexts: list[str], extra: int = 6) -> DataFrame:
     """word_id, i, x, y, g of the negative log-likelihood by the arcs' scores, summed over contexts. gold: word_id, ur_gold."""
     automaton = dp.Automaton(symbols, contexts)
 
-    def each(row):
-        t = models.scored_transducer(row, automaton, extra)
-        for i, (own, grads) in enumerate(zip(t.moves, t.gradient(row.ur_gold), strict=True)):
-            for (j, _), g in zip(own, grads, strict=True):
-                for y, v in enumerate(g.sum(axis=1)):
-                    if v:
-                        yield row.word_id, i, row.word[i:j], y, -float(v)
+    def each(rows):
+        for row in rows.itertuples(index=False):
+            t = models.scored_transducer(row, automaton, extra)
+            for i, (own, grads) in enumerate(zip(t.moves, t.gradient(row.ur_gold), strict=True)):
+                for (j, _), g in zip(own, grads, strict=True):
+                    for y, v in enumerate(g.sum(axis=1)):
+                        if v:
+                            yield row.word_id, i, row.word[i:j], y, -float(v)
 
     return models._mapped(scored.join(gold.select("word_id", "ur_gold"), "word_id"), "word_id long, i int, x string, y int, g double", each)
 
@@ -137,5 +232,5 @@ def train_transducer(words: DataFrame, symbols: list[str], contexts: list[str],
         gradient = transducer_gradient(scored, words, symbols, contexts, extra)
         best = models.transduce_scored(scored, symbols, contexts, extra).join(words.select("word_id", "ur_gold"), "word_id")
         metrics.append(best.agg(F.avg((F.col("ur") == F.col("ur_gold")).cast("double")).alias("ur_acc")))
-        weights = optimizer.step(weights, tables.gradient_by_feature(features, gradient, len(symbols), by), step).checkpoint()
+        weights = checkpointed(optimizer.step(weights, tables.gradient_by_feature(features, gradient, len(symbols), by), step))
     return optimizer.finalize(weights, iterations + 1), metrics

@@ -1,18 +1,19 @@
 """Registered queries of the morphology operators and their SQL.
 
-Words are all distinct runs of a-z in the lower-case texts of documents, numbered by 48 bits of a hash; the models that run in Python take the
-words of benchmark. Gold analyses come from fixed
-affix rules. Scores come from hashes, so that every engine has the same ones.
+Words are all distinct runs of a-z in the lower-case texts of documents, numbered by 48 bits of a hash. Gold analyses come from
+fixed affix rules. Scores come from hashes, so that every engine has the same ones. Operators run with their defaults.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge import functions as L
 from lexiforge import sources
-from lexiforge.operators import dp, metrics, models, tables
+from lexiforge.operators import metrics, models, tables
 from lexiforge.operators.optimizer import AdaGrad
 
 #: Fixed affixes of the gold rules.
@@ -22,7 +23,6 @@ RULE = f"^((?:{PREFIXES})?)(.+?)((?:{SUFFIXES})?)$"
 LABELS = 3
 GT0 = [0.0, 1.0, 2.0]
 GT = [[0.0, -1.0, 1.0], [-2.0, 1.0, 0.0], [1.0, 0.0, -1.0]]
-EXTRA = 1
 
 
 def tokens(spark, sf_dir: str) -> DataFrame:
@@ -35,12 +35,6 @@ def words(spark, sf_dir: str) -> DataFrame:
     return _numbered(tokens(spark, sf_dir))
 
 
-def bench_words(spark, sf_dir: str) -> DataFrame:
-    """word_id, word, n of benchmark, for the models that run in Python."""
-    text = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    return _numbered(text)
-
-
 def _numbered(found: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.count("*").alias("n")).select(F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 12), 16, 10).cast("long").alias("word_id"), "word", "n")
 
@@ -61,9 +55,8 @@ def hashed_score(segment: Column, label: Column) -> Column:
     return (L.hash_key(F.concat(segment, F.lit("|"), label.cast("string"))) % 11 - 5).cast("double")
 
 
-def hashed_potentials(spark, sf_dir: str) -> DataFrame:
-    own = bench_words(spark, sf_dir).select("word_id", "word", F.explode(L.spans(F.col("word"))).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(LABELS - 1))).alias("y"))
-    return own.select("word_id", "s.i", "s.j", "y", hashed_score(F.substring("word", F.col("s.i") + 1, F.col("s.j") - F.col("s.i")), F.col("y")).alias("score"))
+def hashed_scores(spark, sf_dir: str) -> DataFrame:
+    return models.packed_table(words(spark, sf_dir), LABELS, hashed_score)
 
 
 def q_corpus_words(spark, sf_dir):
@@ -104,18 +97,19 @@ def q_next_state(spark, sf_dir):
 
 def q_substring_ids(spark, sf_dir):
     symbols = _symbols(spark, sf_dir)
-    found = tables.substrings(words(spark, sf_dir), _contexts(spark, symbols).join(symbols, "symbol", "left").select("symbol", F.coalesce("id", F.lit(99)).alias("id")), longest=2)
+    found = tables.substrings(words(spark, sf_dir), _contexts(spark, symbols).join(symbols, "symbol", "left").select("symbol", F.coalesce("id", F.lit(99)).alias("id")))
     return found.groupBy("id").agg(F.count("*").alias("n"))
 
 
 def q_feature_counts(spark, sf_dir):
     own = words(spark, sf_dir)
-    feats = tables.chunk_features(own, own.where("n > 1").select("word"), width=3, longest=4)
-    return feats.groupBy(L.hash_key(F.col("feature")).bitwiseAND(F.lit(65535)).alias("slot")).agg(F.count("*").alias("n"))
+    # features are counted before they are hashed
+    feats = tables.chunk_features(own, own.where("n > 1").select("word")).groupBy("feature").agg(F.count("*").alias("n"))
+    return feats.groupBy(L.hash_key(F.col("feature")).bitwiseAND(F.lit(65535)).alias("slot")).agg(F.sum("n").alias("n"))
 
 
 def q_chunk_best(spark, sf_dir):
-    own = bench_words(spark, sf_dir).withColumn("t", models.chunk_table(F.col("word"), LABELS, hashed_score))
+    own = words(spark, sf_dir).withColumn("t", models.chunk_table(F.col("word"), LABELS, hashed_score))
     return own.select("word", models.chunk_fold(F.col("word"), F.col("t"), GT0, GT, "max").cast("long").alias("best"))
 
 
@@ -125,53 +119,71 @@ def q_chunk_count(spark, sf_dir):
 
 
 def q_chunk_decode(spark, sf_dir):
-    scored = models.packed(bench_words(spark, sf_dir), hashed_potentials(spark, sf_dir))
-    return models.decode_chunks(scored, GT0, GT).select("word", "score", F.array_join("segments", "#").alias("segments"), "labels", F.round("log_z", 6).alias("log_z"))
+    found = models.decode_chunks(hashed_scores(spark, sf_dir), GT0, GT)
+    return found.select("word", F.col("score").cast("long").alias("score"), F.array_join(F.zip_with("segments", "labels", lambda s, y: F.concat_ws(":", s, y.cast("string"))), "#").alias("path"), F.round("log_z", 6).alias("log_z"))
 
 
 def q_chunk_posterior(spark, sf_dir):
-    """The posterior mass of the segments that start a word is 1: rounded, so that it is exact."""
-    scored = models.packed(bench_words(spark, sf_dir), hashed_potentials(spark, sf_dir))
-    p = models.chunk_posteriors(scored, GT0, GT).where("i = 0").groupBy("word_id").agg(F.round(F.sum("p"), 6).alias("mass"))
-    return bench_words(spark, sf_dir).join(p, "word_id").select("word", "mass")
+    """The probability that a word is one segment, by label."""
+    own = words(spark, sf_dir).select("word_id", "word")
+    p = models.chunk_posteriors(hashed_scores(spark, sf_dir), GT0, GT).where("i = 0").join(own, "word_id").where("j = length(word)")
+    return p.select("word", "y", F.round("p", 6).alias("p")).where("p > 0")
+
+
+def q_path_labels(spark, sf_dir):
+    """How often each label follows another in the gold analyses."""
+    labels = F.transform(sources.segments(F.col("raw")), lambda s: s["chunk"])
+    own = corpus(spark, sf_dir).select(F.concat(F.array(F.lit(-1)), labels).alias("y"))
+    return own.select(F.explode(F.zip_with(F.slice("y", 1, F.size("y") - 1), F.slice("y", 2, F.size("y") - 1), lambda a, b: F.struct(a.alias("before"), b.alias("y")))).alias("t")).groupBy("t.before", "t.y").agg(F.count("*").alias("n"))
+
+
+def q_tree_yield(spark, sf_dir):
+    return sources.parse(corpus(spark, sf_dir)).select("sr", "ur", "n", "m", F.size(F.filter("nodes", lambda x: x["is_leaf"])).alias("leaves"))
 
 
 def q_tree_decode(spark, sf_dir):
-    scored = models.packed(bench_words(spark, sf_dir), hashed_potentials(spark, sf_dir))
-    return models.decode_trees(scored, LABELS).select("word", "score", "tree", F.round("log_z", 6).alias("log_z"))
+    return models.decode_trees(hashed_scores(spark, sf_dir), LABELS).select("word", F.col("score").cast("long").alias("score"), "tree", F.round("log_z", 6).alias("log_z"))
 
 
-def q_tree_root_mass(spark, sf_dir):
-    scored = models.packed(bench_words(spark, sf_dir), hashed_potentials(spark, sf_dir))
-    root = models.tree_posteriors(scored, LABELS).join(bench_words(spark, sf_dir), "word_id").where("i = 0 AND j = length(word) AND y = 0")
-    return root.select("word", F.round("p", 6).alias("mass"))
+def q_tree_nodes_expected(spark, sf_dir):
+    """Expected number of nodes of each label."""
+    return models.tree_posteriors(hashed_scores(spark, sf_dir), LABELS).groupBy("word_id", "y").agg(F.round(F.sum("p"), 6).alias("nodes"))
 
 
-def edit_scorer() -> models.TransducerScorer:
-    letters = ["", *"abcdefghijklmnopqrstuvwxyz"]
-    return models.TransducerScorer(letters, letters, copy=0.0, change=-1.0, extra=EXTRA)
+def q_grad_sum(spark, sf_dir):
+    """A gradient of the whole word's place, summed over the prefixes that fire there."""
+    own = words(spark, sf_dir)
+    feats = own.select("word_id", F.lit(0).alias("i"), F.lit(1).alias("j"), F.explode(L.prefix_contexts(F.col("word"), F.length("word"), 4)).alias("feature"))
+    places = own.select("word_id", F.lit(0).alias("i"), F.lit(1).alias("j"), F.explode(F.array(F.lit(0), F.lit(1))).alias("y")).withColumn("g", ((F.col("word_id") + F.col("y")) % 7 - 3).cast("double"))
+    return tables.gradient_by_feature(feats, places, 2).select("k", F.col("g").cast("long").alias("g"))
+
+
+LETTERS = ["", *"abcdefghijklmnopqrstuvwxyz"]
 
 
 def q_align_best(spark, sf_dir):
     """Best alignment of each word with its stem by unit costs: less the edit distance."""
-    scorer = edit_scorer()
+    scorer = models.TransducerScorer(LETTERS, LETTERS, copy=0.0, change=-1.0)
+    own = words(spark, sf_dir).select("word", F.regexp_extract("word", RULE, 2).alias("ur"))
+    return models.best_alignments(own, scorer).select("word", F.col("ur").alias("stem"), F.round("score").cast("long").alias("best"))
 
-    def each(row):
-        yield row.word, row.stem, int(round(scorer.on(row.word).clamped(row.stem, dp.best)[0]))
 
-    own = bench_words(spark, sf_dir).select("word", F.regexp_extract("word", RULE, 2).alias("stem"))
-    return models._mapped(own, "word string, stem string, best long", each)
+def hashed_scorer() -> models.TransducerScorer:
+    """Pair weights of -5 to 5 from hashes, but -6 for insertions."""
+    weight = lambda x, y: int(hashlib.md5(f"{x}>{y}".encode()).hexdigest()[:7], 16) % 11 - 5 if x else -6
+    return models.TransducerScorer(LETTERS, [""], copy=0.0, change=0.0, pairs={(x, y): float(weight(x, y)) for x in LETTERS for y in LETTERS if x or y})
 
 
-def q_transduce_copy(spark, sf_dir):
-    """With a strong copy weight the best output is the word."""
-    scorer = models.TransducerScorer(edit_scorer().symbols, [""], extra=EXTRA)
-    return models.transduce(bench_words(spark, sf_dir), scorer).select("word", "ur", F.col("score").cast("long").alias("score"))
+def q_transduce_best(spark, sf_dir):
+    """With negative insertions each character goes to its best output."""
+    return models.transduce(words(spark, sf_dir), hashed_scorer()).select("word", "ur", F.col("score").cast("long").alias("score"))
 
 
 def q_transduce_sample(spark, sf_dir):
-    scorer = models.TransducerScorer(edit_scorer().symbols, [""], copy=3.0, change=-3.0, extra=EXTRA)
-    return models.candidates(bench_words(spark, sf_dir), scorer, "sample", num=10).groupBy("word_id", "word").agg(F.sum(F.when(F.col("source") == "sample", F.col("n"))).alias("draws"), F.count("*").alias("candidates")).select("word", "draws")
+    """The most frequent of a thousand outputs of each word, and how many different ones there were."""
+    scorer = models.TransducerScorer(LETTERS, [""])
+    drawn = models.candidates(words(spark, sf_dir), scorer, "sample").where("source = 'sample'")
+    return drawn.groupBy("word").agg(F.sum("n").alias("draws"), F.count("*").alias("outputs"), F.min_by("ur", "pos").alias("ur"), F.max("n").alias("n"))
 
 
 def _scored_candidates(spark, sf_dir):
@@ -257,7 +269,6 @@ def q_coverage(spark, sf_dir):
 
 
 _W = "t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), w AS (SELECT ('0x' || substr(md5(word), 1, 12))::BIGINT AS word_id, word, count(*) AS n FROM t GROUP BY word)"
-_B = _W.replace("SELECT lang, unnest", "SELECT unnest").replace("documents", "benchmark")
 _R = f"r AS (SELECT word_id, word, n, regexp_extract(word, '{RULE}', 1) AS a, regexp_extract(word, '{RULE}', 2) AS b, regexp_extract(word, '{RULE}', 3) AS c FROM w)"
 _H = "('0x' || substr(md5({}), 1, 7))::BIGINT"
 _SYM = "chars AS (SELECT DISTINCT unnest(string_split(word, '')) AS symbol FROM w), seen AS (SELECT symbol, min(word || '~' || lpad(CAST(instr(word, symbol) AS VARCHAR), 9, '0')) AS place FROM w JOIN chars ON instr(word, symbol) > 0 GROUP BY symbol)"
@@ -272,6 +283,29 @@ def _list(xs) -> str:
 
 
 _GE = _H.format("substr(word, i + 1, j - i) || '|' || y") + " % 11 - 5"
+_LSE = "(list_max({0}) + ln(list_sum(list_transform({0}, lambda lse: exp(lse - list_max({0}))))))"
+#: Scores of all segments that end at j, from the first start on, by label.
+_COL = f"ge AS (SELECT word, i, j, list({_GE} ORDER BY y) AS s FROM (SELECT word, i, unnest(range(i + 1, length(word) + 1)) AS j FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)), (SELECT unnest([0, 1, 2]) AS y) GROUP BY word, i, j), col AS (SELECT word, j, list(s ORDER BY i) AS s FROM ge GROUP BY word, j)"
+_GT0, _GTS = f"CAST({_list(GT0)} AS DOUBLE[])", f"CAST({_list(GT)} AS DOUBLE[][])"
+#: a[j + 1][y]: best score, start and label before of the segments of label y that end at j; p: the paths there.
+_BEST = f"""d AS (SELECT word, 0 AS j, [[[0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]]] AS a, [['']] AS p FROM w UNION ALL
+SELECT word, j + 1, list_append(a, n), list_append(p, list_transform(n, lambda x, y: CASE WHEN x[2] = 0 THEN '' ELSE p[CAST(x[2] AS INT) + 1][CAST(x[3] AS INT)] || '#' END || substr(word, CAST(x[2] AS INT) + 1, CAST(j + 1 - x[2] AS INT)) || ':' || (y - 1)))
+FROM (SELECT d.*, list_transform([1, 2, 3], lambda y: list_max(list_transform(range(1, d.j + 2), lambda i: CASE WHEN i = 1 THEN [s[1][y] + {_GT0}[y], 0, 0] ELSE list_max(list_transform([1, 2, 3], lambda b: [a[i][b][1] + {_GTS}[b][y] + s[i][y], i - 1, b])) END))) AS n FROM d JOIN col ON d.word = col.word AND col.j = d.j + 1))"""
+#: As _BEST with sums: a[j + 1][y].
+_SUMS = f"""z AS (SELECT word, 0 AS j, [[0.0::DOUBLE]] AS a FROM w UNION ALL
+SELECT z.word, z.j + 1, list_append(a, list_transform([1, 2, 3], lambda y: {_LSE.format(f"flatten(list_transform(range(1, z.j + 2), lambda i: CASE WHEN i = 1 THEN [s[1][y] + {_GT0}[y]] ELSE list_transform([1, 2, 3], lambda b: a[i][b] + {_GTS}[b][y] + s[i][y]) END))")})) FROM z JOIN col ON z.word = col.word AND col.j = z.j + 1)"""
+
+
+def _part(size: str, at: str, label: str) -> str:
+    """Best score of a node of a size, first character and label."""
+    return f"CASE WHEN {label} = 0 THEN a[{size}][{at}] ELSE psi[{size}][{at}][{label} + 1] END"
+
+
+def _side(size: str, at: str, label: str) -> str:
+    """The same node, printed."""
+    return f"CASE WHEN {label} = 0 THEN p[{size}][{at}] ELSE substr(word, {at}, {size}) || ':' || {label} END"
+
+
 SQL = {
     "corpus_words": f"WITH {_W} SELECT word_id, word, n FROM w",
     "parse_leaves": f"WITH {_W}, {_R}, x AS (SELECT word, unnest([a, b, c]) AS segment, unnest(['prefix', 'stem', 'suffix']) AS label, unnest([0, length(a), length(a) + length(b)]) AS i, unnest([0, 2, 1]) AS chunk FROM r) SELECT word, row_number() OVER (PARTITION BY word ORDER BY i) - 1 AS pos, segment, label, i, i + length(segment) AS j, chunk FROM x WHERE segment <> ''",
@@ -284,22 +318,30 @@ UNION ALL SELECT word, 3 + 2 * p, 1, length(a) + length(b), m, 2, c, true FROM k
     "alphabet": f"WITH {_W}, {_SYM} SELECT symbol, CAST(row_number() OVER (ORDER BY place) + 5 AS INTEGER) AS id FROM seen WHERE symbol NOT IN ('o', 'n', 'y', 's', 'e') UNION ALL SELECT unnest(['', 'o', 'n', 'y', 's', 'e']), unnest([0, 1, 2, 3, 4, 5])",
     "alignment_table": f"WITH {_W}, {_SYM}, a AS (SELECT symbol, row_number() OVER (ORDER BY place) AS id FROM seen UNION ALL SELECT '', 0) SELECT p.symbol AS x, q.symbol AS y, CAST(p.id * (SELECT count(*) FROM a) + q.id + 1 AS BIGINT) AS align_id, p.symbol = q.symbol AS is_copy FROM a p, a q WHERE p.symbol <> '' OR q.symbol <> ''",
     "next_state": f"WITH {_W}, {_SYM}, a AS (SELECT symbol FROM seen UNION SELECT ''), ctx AS (SELECT symbol FROM a UNION SELECT unnest(['oo', 'nn', 'yy', 'ss', 'ee'])) SELECT p.symbol AS p, a.symbol AS y, (SELECT arg_max(x.symbol, length(x.symbol)) FROM ctx x WHERE suffix(p.symbol || a.symbol, x.symbol)) AS next_p FROM ctx p, a",
-    "substring_ids": f"WITH {_W}, {_SYM}, a AS (SELECT symbol, row_number() OVER (ORDER BY place) AS id FROM seen UNION ALL SELECT '', 0), ctx AS (SELECT symbol, coalesce(id, 99) AS id FROM (SELECT symbol FROM a UNION SELECT unnest(['oo', 'nn', 'yy', 'ss', 'ee'])) LEFT JOIN a USING (symbol)), p AS (SELECT substr(word, i, k) AS symbol FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w), (SELECT unnest([1, 2]) AS k) WHERE i + k - 1 <= length(word)) SELECT coalesce(id, -1) AS id, count(*) AS n FROM p LEFT JOIN ctx USING (symbol) GROUP BY 1",
-    "feature_counts": f"""WITH {_W}, p AS (SELECT word, i, i + d AS j, '^' || word || '$' AS f, length(word) AS m FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w), (SELECT unnest([1, 2, 3, 4]) AS d) WHERE i + d <= length(word)),
-x AS (SELECT 'seg:' || substr(word, i + 1, j - i) AS f FROM p UNION ALL SELECT 'left:' || substr(f, i - k + 1, k) FROM p, (SELECT unnest([1, 2]) AS k) WHERE k <= i UNION ALL SELECT 'right:' || substr(f, j + 1, least(m + 2, j + k) - j) FROM p, (SELECT unnest([1, 2, 3]) AS k)
-UNION ALL SELECT 'lexicon' FROM p WHERE j - i > 3 AND substr(word, i + 1, j - i) IN (SELECT word FROM w WHERE n > 1))
-SELECT {_H.format('f')} & 65535 AS slot, count(*) AS n FROM x GROUP BY 1""",
-    "chunk_best": f"""WITH RECURSIVE {_B}, ge AS (SELECT word, i, j, list({_GE} ORDER BY y) AS s FROM (SELECT word, i, unnest(range(i + 1, length(word) + 1)) AS j FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)), (SELECT unnest([0, 1, 2]) AS y) GROUP BY word, i, j),
-col AS (SELECT word, j, list(s ORDER BY i) AS s FROM ge GROUP BY word, j),
-d AS (SELECT word, 0 AS j, [[0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]] AS a FROM w UNION ALL
-SELECT d.word, d.j + 1, list_append(a, list_transform([1, 2, 3], lambda y: list_max(list_transform(range(1, d.j + 2), lambda i: CASE WHEN i = 1 THEN s[1][y] + CAST({_list(GT0)} AS DOUBLE[])[y] ELSE list_max(list_transform([1, 2, 3], lambda b: a[i][b] + CAST({_list(GT)} AS DOUBLE[][])[b][y] + s[i][y])) END)))) FROM d JOIN col ON d.word = col.word AND col.j = d.j + 1)
-SELECT word, CAST(list_max(a[j + 1]) AS BIGINT) AS best FROM d WHERE j = length(word)""",
+    "substring_ids": f"WITH {_W}, {_SYM}, a AS (SELECT symbol, row_number() OVER (ORDER BY place) AS id FROM seen UNION ALL SELECT '', 0), ctx AS (SELECT symbol, coalesce(id, 99) AS id FROM (SELECT symbol FROM a UNION SELECT unnest(['oo', 'nn', 'yy', 'ss', 'ee'])) LEFT JOIN a USING (symbol)), p AS (SELECT substr(word, i, k) AS symbol FROM (SELECT word, i, unnest(range(1, length(word) - i + 2)) AS k FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w))) SELECT coalesce(id, -1) AS id, count(*) AS n FROM p LEFT JOIN ctx USING (symbol) GROUP BY 1",
+    "feature_counts": f"""WITH {_W}, p AS (SELECT word, i, unnest(range(i + 1, length(word) + 1)) AS j, '^' || word || '$' AS f, length(word) AS m FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)),
+x AS (SELECT 'seg:' || substr(word, i + 1, j - i) AS f, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT 'left:' || substr(f, i - k + 1, k) AS f, count(*) AS n FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k <= i GROUP BY 1 UNION ALL SELECT 'right:' || substr(f, j + 1, least(m + 2, j + k) - j) AS f, count(*) AS n FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) GROUP BY 1
+UNION ALL SELECT 'lexicon' AS f, count(*) AS n FROM p WHERE j - i > 3 AND substr(word, i + 1, j - i) IN (SELECT word FROM w WHERE n > 1))
+SELECT {_H.format('f')} & 65535 AS slot, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY 1""",
+    "chunk_best": f"WITH RECURSIVE {_W}, {_COL}, {_BEST}, e AS (SELECT word, p[j + 1] AS paths, list_max(list_transform([1, 2, 3], lambda y: [a[j + 1][y][1], y])) AS top FROM d WHERE j = length(word)) SELECT word, CAST(top[1] AS BIGINT) AS best FROM e WHERE paths[CAST(top[2] AS INT)] IS NOT NULL",
+    "chunk_decode": f"WITH RECURSIVE {_W}, {_COL}, {_BEST}, {_SUMS}, e AS (SELECT word, a[j + 1] AS last, p[j + 1] AS paths, list_max(list_transform([1, 2, 3], lambda y: [a[j + 1][y][1], y])) AS top FROM d WHERE j = length(word)) SELECT e.word, CAST(top[1] AS BIGINT) AS score, paths[CAST(top[2] AS INT)] AS path, round({_LSE.format('z.a[z.j + 1]')}, 6) AS log_z FROM e JOIN z ON e.word = z.word AND z.j = length(z.word)",
+    "chunk_posterior": f"WITH RECURSIVE {_W}, {_COL}, {_SUMS}, e AS (SELECT word, {_LSE.format('a[j + 1]')} AS log_z FROM z WHERE j = length(word)) SELECT * FROM (SELECT e.word, unnest([0, 1, 2]) AS y, round(exp(unnest(s[1]) + unnest({_list(GT0)}) - log_z), 6) AS p FROM e JOIN col ON e.word = col.word AND col.j = length(e.word)) WHERE p > 0",
+    "path_labels": f"WITH {_W}, {_R}, x AS (SELECT list_filter([CASE WHEN a <> '' THEN 0 END, 2, CASE WHEN c <> '' THEN 1 END], lambda v: v IS NOT NULL) AS y FROM r) SELECT before, y, count(*) AS n FROM (SELECT unnest(list_prepend(-1, y[1:len(y) - 1])) AS before, unnest(y) AS y FROM x) GROUP BY ALL",
+    "tree_yield": f"WITH {_W}, {_R} SELECT word AS sr, word AS ur, length(word) AS n, length(word) AS m, 1 + CAST(a <> '' AS INT) + CAST(c <> '' AS INT) AS leaves FROM r",
+    "grad_sum": f"WITH {_W}, f AS (SELECT word_id, substr('^' || word || '$', length(word) - k + 1, k) AS f FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k <= length(word) AND k < 4) SELECT ({_H.format('f')} * 2 + y) & 4194303 AS k, CAST(sum((word_id + y) % 7 - 3) AS BIGINT) AS g FROM f, (SELECT unnest([0, 1]) AS y) GROUP BY 1",
+    "tree_decode": f"""WITH RECURSIVE {_W}, ge AS (SELECT word, i, j, list({_GE} ORDER BY y) AS s FROM (SELECT word, i, unnest(range(i + 1, length(word) + 1)) AS j FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)), (SELECT unnest([0, 1, 2]) AS y) GROUP BY word, i, j),
+rw AS (SELECT word, j - i AS size, list(s ORDER BY i) AS s FROM ge GROUP BY word, j - i),
+d AS (SELECT word, 1 AS size, [s] AS psi, [list_transform(s, lambda x: CAST(x[1] AS DOUBLE))] AS a, [list_transform(range(1, len(s) + 1), lambda i: substr(word, i, 1) || ':0')] AS p, [list_transform(s, lambda x: {_LSE.format('x')})] AS z, [list_transform(s, lambda x: CAST(x[1] AS DOUBLE))] AS z0 FROM rw WHERE size = 1 UNION ALL
+SELECT word, size + 1, list_append(psi, s), list_append(a, list_transform(top, lambda x, i: s[i][1] + greatest(x[1], 0.0))),
+  list_append(p, list_transform(top, lambda x, i: CASE WHEN x[1] < 0 THEN substr(word, i, size + 1) || ':0' ELSE '( ' || {_side('CAST(x[2] AS INT)', 'i', 'pl[CAST(x[3] AS INT)]')} || ' ' || {_side('CAST(size + 1 - x[2] AS INT)', 'CAST(i + x[2] AS INT)', 'pr[CAST(x[3] AS INT)]')} || ' )' END)),
+  list_append(z, list_transform(zs, lambda x, i: {_LSE.format('[x, s[i][2], s[i][3]]')})), list_append(z0, zs)
+FROM (SELECT *, list_transform(inner_z, lambda x, i: s[i][1] + greatest(x, 0.0) + ln(exp(-greatest(x, 0.0)) + exp(x - greatest(x, 0.0)))) AS zs, [1, 1, 2, 2, 0, 0, 1, 2, 0] AS pl, [1, 2, 1, 2, 1, 2, 0, 0, 0] AS pr
+FROM (SELECT d.*, rw.s, list_transform(range(1, len(rw.s) + 1), lambda i: list_max(list_transform(range(1, d.size + 1), lambda l: list_max(list_transform(range(1, 10), lambda q: [{_part('l', 'i', '[1, 1, 2, 2, 0, 0, 1, 2, 0][q]')} + {_part('d.size + 1 - l', 'i + l', '[1, 2, 1, 2, 1, 2, 0, 0, 0][q]')}, l, q]))))) AS top,
+  list_transform(range(1, len(rw.s) + 1), lambda i: {_LSE.format('list_transform(range(1, d.size + 1), lambda l: z[l][i] + z[d.size + 1 - l][i + l])')}) AS inner_z FROM d JOIN rw ON d.word = rw.word AND rw.size = d.size + 1)))
+SELECT word, CAST(a[size][1] AS BIGINT) AS score, p[size][1] AS tree, round(z0[size][1], 6) AS log_z FROM d WHERE size = length(word)""",
     "chunk_count": f"WITH {_W} SELECT word, round(log10(3.0) + (length(word) - 1) * log10(4.0), 6) AS log_paths FROM w",
-    "chunk_posterior": f"WITH {_B} SELECT word, 1.0::DOUBLE AS mass FROM w",
-    "tree_root_mass": f"WITH {_B} SELECT word, 1.0::DOUBLE AS mass FROM w",
-    "align_best": f"WITH {_B}, {_R} SELECT word, b AS stem, -levenshtein(word, b) AS best FROM r",
-    "transduce_copy": f"WITH {_B} SELECT word, word AS ur, length(word) * 10 AS score FROM w",
-    "transduce_sample": f"WITH {_B} SELECT word, 10 AS draws FROM w",
+    "align_best": f"WITH {_W}, {_R} SELECT word, b AS stem, -levenshtein(word, b) AS best FROM r",
+    "transduce_best": f"WITH {_W}, l AS (SELECT unnest(list_prepend('', string_split('abcdefghijklmnopqrstuvwxyz', ''))) AS c), b AS (SELECT x, max(s) AS s, arg_max(y, s * 1000 + ascii(y)) AS y FROM (SELECT p.c AS x, q.c AS y, {_H.format("p.c || '>' || q.c")} % 11 - 5 AS s FROM l p, l q WHERE p.c <> '') GROUP BY x), u AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w) SELECT word, string_agg(y, '' ORDER BY i) AS ur, CAST(sum(s) AS BIGINT) AS score FROM u JOIN b ON b.x = substr(word, i, 1) GROUP BY word",
     "rerank_best": f"WITH {_W}, {_R}, {_CAND} SELECT word, pos, ur, score FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, pos DESC) = 1",
     "softmax_weights": f"WITH {_W}, {_R}, {_CAND} SELECT word, pos, round(exp(score) / sum(exp(score)) OVER (PARTITION BY word), 6) AS weight FROM c",
     "seg_metrics": f"WITH {_W}, {_R}, {_M}, v AS (SELECT lang, word, truth AS t, guess AS g FROM m) SELECT lang, count(*) AS words, round(avg(CAST(array_to_string(g, '') = word AS INT)), 6) AS ur_acc, round(avg(CAST(g = t AS INT)), 6) AS seg_acc, round(avg({_F1}), 6) AS f1, round(avg(levenshtein(array_to_string(g, '#'), array_to_string(t, '#'))), 6) AS edit FROM v GROUP BY lang",
@@ -316,7 +358,7 @@ SELECT word, CAST(list_max(a[j + 1]) AS BIGINT) AS best FROM d WHERE j = length(
 
 #: Columns that are long in both.
 LONG = {
-    "parse_leaves": "pos i j chunk", "tree_nodes": "node_id parent_id i j label", "alphabet": "id", "substring_ids": "id n", "feature_counts": "slot n", "align_best": "best", "transduce_copy": "score", "transduce_sample": "draws",
+    "parse_leaves": "pos i j chunk", "tree_nodes": "node_id parent_id i j label", "alphabet": "id", "substring_ids": "id n", "feature_counts": "slot n", "align_best": "best", "transduce_best": "score", "chunk_posterior": "y", "path_labels": "before y n", "tree_yield": "n m leaves", "grad_sum": "k g",
     "rerank_best": "pos score", "softmax_weights": "pos", "adagrad_l2_step": "u", "adagrad_l1_step": "u", "adagrad_catchup": "u", "potentials_join": "y score", "scatter_add": "k v",
 }
 

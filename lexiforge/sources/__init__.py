@@ -18,7 +18,7 @@ LEAF = r"([^():]+):([^():]+)[)]"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """raw and line_no (from 0, file by file in order) of a text corpus."""
+    """raw and line_no of a text corpus: increasing in the order in which the lines are read, but with gaps between partitions."""
     return spark.read.text(path).select(F.col("value").alias("raw"), F.monotonically_increasing_id().alias("line_no"))
 
 

@@ -15,9 +15,9 @@ from lexiforge.operators.optimizer import AdaGrad
 
 DATA = "/root/testdata/sf0.001"
 LINES = [
-    "repay (S (re:prefix) (pay:stem))",
-    "shakily (S (S (shake:stem) (y:suffix)) (ly:suffix))",
-    "office (office :stem)",
+    "rejig (S (re:prefix) (jig:stem))",
+    "miserly (S (S (misa:stem) (r:suffix)) (ly:suffix))",
+    "marble (marble :stem)",
     "bad  (S (bad:stme) (ly:suffix)",
     "more (S (mo:stem) (re:suffix)))",
     "(S (un:prefix) (do:stem))",
@@ -30,12 +30,12 @@ LINES = [
 def test_parser_is_lenient(spark):
     corpus = spark.createDataFrame(list(enumerate(LINES)), "line_no long, raw string")
     got = {r.line_no: r for r in sources.parse(corpus).collect()}
-    assert [got[k].ur for k in range(7)] == ["repay", "shakeyly", "office", "badly", "more", "undo", "abc"]
+    assert [got[k].ur for k in range(7)] == ["rejig", "misarly", "marble", "badly", "more", "undo", "abc"]
     assert [got[k].parse_issue for k in range(9)] == [None, None, None, "unclosed (", "surplus )", "no surface form", "more than two children", None, None]
-    assert [(x.i, x.j, x.label, x.word) for x in got[1].nodes] == [(0, 8, 0, None), (0, 8, 0, None), (0, 6, 0, None), (0, 5, 0, "shake"), (5, 6, 2, "y"), (6, 8, 2, "ly")]
+    assert [(x.i, x.j, x.label, x.word) for x in got[1].nodes] == [(0, 7, 0, None), (0, 7, 0, None), (0, 5, 0, None), (0, 4, 0, "misa"), (4, 5, 2, "r"), (5, 7, 2, "ly")]
     assert sources.checked(sources.parse(corpus)).count() == 0
     leaf = {r.line_no: [x.word for x in r.s] for r in corpus.where("raw IS NOT NULL").select("line_no", sources.segments(F.col("raw")).alias("s")).collect()}
-    assert leaf[1] == ["shake", "y", "ly"] and leaf[2] == ["office"]
+    assert leaf[1] == ["misa", "r", "ly"] and leaf[2] == ["marble"]
     assert sources.display([x.asDict() for x in got[0].nodes]).startswith("S(0,5)")
 
 
@@ -104,7 +104,8 @@ def test_candidates_and_reranking(spark):
     assert best.first().ur == "aab"
     weights = training.importance(cands, ll.select("word_id", "ur", F.col("ll").alias("score")))
     assert weights.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
-    moved = training.joint_step(words, spark.createDataFrame([(1, "aab", 1.0)], "word_id long, ur string, weight double"), scorer, 0.1)
+    truth = spark.createDataFrame([(1, "aab", 1.0)], "word_id long, ur string, weight double")
+    moved = training.joint_step(words, truth, weights.select("word_id", "ur", "weight"), scorer, 0.1)
     assert moved.on("ab").log_likelihood("aab") > scorer.on("ab").log_likelihood("aab")
 
 
@@ -157,8 +158,8 @@ def test_transducer_training(spark):
 def test_experiment(spark, tmp_path, segmenter):
     from lexiforge.operators import experiment
 
-    spark.createDataFrame([("redo (S (re:prefix) (do:stem))",), ("undo (S (un:prefix) (do:stem))",)], "value string").coalesce(1).write.text(str(tmp_path / "dev"))
-    letters = ["", *"deonru"]
+    spark.createDataFrame([("recut (S (re:prefix) (cut:stem))",), ("uncut (S (un:prefix) (cut:stem))",)], "value string").coalesce(1).write.text(str(tmp_path / "dev"))
+    letters = ["", *"centru"]
     scorer = models.TransducerScorer(letters, [""], extra=1)
     weights = spark.createDataFrame([], "k long, w double, q double, u int")
     config = experiment.Config(dev=str(tmp_path / "dev"), segmenter=segmenter, samples=20)
@@ -166,3 +167,35 @@ def test_experiment(spark, tmp_path, segmenter):
     assert set(got) == set(experiment.MODES) and all(r.words == 2 and r.ur_acc == 1.0 and 0 <= r.span_f1 <= 1 for r in got.values())
     with pytest.raises(ValueError):
         experiment.Config(dev="x", decode="best")
+
+
+@pytest.mark.parametrize("segmenter, how", [("chunk", "pipeline"), ("tree", "pipeline"), ("chunk", "joint")])
+def test_experiment_trains(spark, tmp_path, segmenter, how):
+    from lexiforge.operators import experiment
+
+    spark.createDataFrame([("rerun (S (re:prefix) (run:stem))",), ("redy (S (red:stem) (y:suffix))",), ("badly (S (bad:stem) (ly:suffix))",)], "value string").coalesce(1).write.text(str(tmp_path / "train"))
+    config = experiment.Config(dev=str(tmp_path / "train"), train=str(tmp_path / "train"), segmenter=segmenter, decode="viterbi", iterations=3, s_eta=1.0, extra=1, training=how, out=str(tmp_path / "out"))
+    got = experiment.run(spark, config).first()
+    assert got.words == 3 and got.ur_acc == 1.0
+    assert how == "joint" or got.seg_acc == 1.0
+    log = spark.read.parquet(str(tmp_path / "out" / "log"))
+    assert {r.epoch for r in log.collect()} == {1, 2, 3} and sources.load_weights(spark, str(tmp_path / "out" / "weights"), segmenter).count() > 0
+
+
+def test_joint_training_raises_the_likelihood(spark):
+    words = spark.createDataFrame([(1, "aab", "ab"), (2, "bab", "bb")], "word_id long, word string, ur_gold string")
+    gold = spark.createDataFrame([(1, "ab", 0, 1, 0), (1, "ab", 1, 2, 2), (2, "bb", 0, 2, 2)], "word_id long, ur string, i int, j int, y int")
+    scorer = models.TransducerScorer(["", "a", "b"], [""], copy=0.5, change=-0.5, extra=1)
+    moved, weights, told = training.joint(words, gold, scorer, training.no_weights(spark), iterations=4, samples=30, eta=0.3, optimizer=AdaGrad(eta=0.5))
+    assert told[-1] > told[0] + 0.1 and moved.on("aab").log_likelihood("ab") > scorer.on("aab").log_likelihood("ab") and weights.count() > 0
+
+
+def test_transitions_are_learned(spark):
+    """Segments that look alike can only be told by the label before."""
+    words = spark.createDataFrame([(k, "aa") for k in range(4)], "word_id long, word string")
+    gold = spark.createDataFrame([(k, i, i + 1, y) for k in range(4) for i, y in ((0, 0), (1, 2))], "word_id long, i int, j int, y int")
+    features = words.crossJoin(spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "i int, j int")).select("word_id", "i", "j", F.concat(F.lit("length:"), (F.col("j") - F.col("i")).cast("string")).alias("feature"))
+    weights, _ = training.train(words, gold, "chunk", iterations=6, optimizer=AdaGrad(eta=1.0), features=features)
+    assert {tuple(r.labels) for r in training.segmented(words, features, weights, "chunk").collect()} == {(0, 2)}
+    gt0, gt = training.transitions(weights)
+    assert gt0[0] == max(gt0) and gt[0][2] == max(map(max, gt))
