@@ -343,3 +343,20 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, target_recall: flo
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_text_links")
+
+
+#: All pairs of sets that share an n-gram, and a walk over the links from every set.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT r, doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')))) AS s FROM d WHERE len(w) > 0),
+k AS (SELECT r, doc_id, md5(array_to_string(s, '|')) AS k, s FROM g),
+c AS (SELECT k, count(*) AS mult, min(doc_id) AS low, any_value(len(s)) AS n, any_value(s) AS s FROM k GROUP BY k),
+t AS (SELECT k, n, unnest(s) AS gram FROM c),
+e AS (SELECT a.k AS a, b.k AS b FROM t a JOIN t b ON a.gram = b.gram AND a.k < b.k GROUP BY a.k, b.k HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+walk AS (SELECT k AS a, k AS b FROM c UNION SELECT walk.a, l.b FROM walk JOIN l ON walk.b = l.a),
+cls AS (SELECT walk.a AS k, min(c.low) AS class_id FROM walk JOIN c ON walk.b = c.k GROUP BY walk.a),
+n AS (SELECT l.a AS k, CAST(sum(c.mult) AS BIGINT) AS links, count(*) AS texts FROM l JOIN c ON l.b = c.k GROUP BY l.a)
+SELECT d.doc_id, CASE WHEN k.k IS NULL THEN d.doc_id ELSE cls.class_id END AS class_id, coalesce(c.mult, 1) - 1 + coalesce(n.links, 0) AS n_links, coalesce(n.texts, 0) AS n_text_links
+FROM d LEFT JOIN k ON d.r = k.r LEFT JOIN c ON k.k = c.k LEFT JOIN cls ON k.k = cls.k LEFT JOIN n ON k.k = n.k
+"""

@@ -10,8 +10,8 @@ QUERIES = {
     "op9_decontamination": ("decontam", "op9_decontamination", "SQL"),
     "op7_language": ("langid", "op7_language", None),
     "op6_perplexity": ("ngram_lm", "op6_perplexity", None),
-    "op10_near_duplicates": ("jaccard", "op10_near_duplicates", None),
-    "op3_sharding": ("sharding", "op3_sharding", None),
+    "op10_near_duplicates": ("jaccard", "op10_near_duplicates", "SQL"),
+    "op3_sharding": ("sharding", "op3_sharding", "SQL"),
     "op2_line_dedup": ("line_dedup", "op2_line_dedup", "SQL"),
     "op1_secrets": ("secrets", "op1_secrets", "SQL"),
     "op4_vptree": ("vptree", "op4_vptree", None),
