@@ -38,11 +38,17 @@ def next_contexts(contexts: DataFrame, symbols: DataFrame) -> DataFrame:
 def chunk_features(words: DataFrame, lexicon: DataFrame | None = None, width: int = 5, longest: int = 1 << 20) -> DataFrame:
     """word_id, i, j, feature of every span: the segment, left and right contexts (tagged, as often as they occur), and a
     flag for segments of over 3 characters that the lexicon (word) has."""
-    at = words.select("word_id", "word", F.explode(L.spans(F.col("word"), longest)).alias("s")).select("word_id", "word", "s.i", "s.j")
+    n = F.length("word")
+    at = words.where(n > 0).select("word_id", "word", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("*", F.explode(F.sequence(F.col("i") + 1, F.least(n, F.col("i") + longest))).alias("j"))
     at = at.withColumn("segment", F.substring("word", F.col("i") + 1, F.col("j") - F.col("i")))
-    tag = lambda mark, texts: F.transform(texts, lambda t: F.concat(F.lit(mark), t))
-    some = F.concat(F.array(F.concat(F.lit("seg:"), "segment")), tag("left:", L.prefix_contexts(F.col("word"), F.col("i"), width)), tag("right:", L.suffix_contexts(F.col("word"), F.col("j"), width)))
-    out = at.select("word_id", "i", "j", F.explode(some).alias("feature"))
+    place, k, text = ("word_id", "i", "j"), F.col("k"), L.framed(F.col("word"))
+    # plain generators and substrings, so that all of it is compiled
+    left = at.where("i > 0").select(*place, "word", F.explode(F.sequence(F.lit(1), F.least(F.lit(width - 1), F.col("i")))).alias("k"))
+    right = at.select(*place, "word", F.explode(F.sequence(F.lit(1), F.lit(width))).alias("k"))
+    out = at.select(*place, F.concat(F.lit("seg:"), "segment").alias("feature"))
+    if width > 1:
+        out = out.union(left.select(*place, F.concat(F.lit("left:"), F.substring(text, F.col("i") - k + 1, k))))
+    out = out.union(right.select(*place, F.concat(F.lit("right:"), F.substring(text, F.col("j") + 1, F.least(k, n + 2 - F.col("j"))))))
     if lexicon is not None:
         known = at.where(F.length("segment") > 3).join(lexicon.select(F.col("word").alias("segment")), "segment", "left_semi")
         out = out.union(known.select("word_id", "i", "j", F.lit("lexicon")))

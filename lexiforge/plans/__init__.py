@@ -285,7 +285,7 @@ def _list(xs) -> str:
 _GE = _H.format("substr(word, i + 1, j - i) || '|' || y") + " % 11 - 5"
 _LSE = "(list_max({0}) + ln(list_sum(list_transform({0}, lambda lse: exp(lse - list_max({0}))))))"
 #: Scores of all segments that end at j, from the first start on, by label.
-_COL = f"ge AS (SELECT word, i, j, list({_GE} ORDER BY y) AS s FROM (SELECT word, i, unnest(range(i + 1, length(word) + 1)) AS j FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)), (SELECT unnest([0, 1, 2]) AS y) GROUP BY word, i, j), col AS (SELECT word, j, list(s ORDER BY i) AS s FROM ge GROUP BY word, j)"
+_COL = f"ge AS (SELECT word, i, j, list({_GE} ORDER BY y) AS s FROM (SELECT word, i, unnest(range(i + 1, length(word) + 1)) AS j FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)), (SELECT unnest([0, 1, 2]) AS y) GROUP BY word, i, j), col AS MATERIALIZED (SELECT word, j, list(s ORDER BY i) AS s FROM ge GROUP BY word, j)"
 _GT0, _GTS = f"CAST({_list(GT0)} AS DOUBLE[])", f"CAST({_list(GT)} AS DOUBLE[][])"
 #: a[j + 1][y]: best score, start and label before of the segments of label y that end at j; p: the paths there.
 _BEST = f"""d AS (SELECT word, 0 AS j, [[[0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]]] AS a, [['']] AS p FROM w UNION ALL
@@ -323,7 +323,7 @@ UNION ALL SELECT word, 3 + 2 * p, 1, length(a) + length(b), m, 2, c, true FROM k
 x AS (SELECT 'seg:' || substr(word, i + 1, j - i) AS f, count(*) AS n FROM p GROUP BY 1 UNION ALL SELECT 'left:' || substr(f, i - k + 1, k) AS f, count(*) AS n FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k <= i GROUP BY 1 UNION ALL SELECT 'right:' || substr(f, j + 1, least(m + 2, j + k) - j) AS f, count(*) AS n FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) GROUP BY 1
 UNION ALL SELECT 'lexicon' AS f, count(*) AS n FROM p WHERE j - i > 3 AND substr(word, i + 1, j - i) IN (SELECT word FROM w WHERE n > 1))
 SELECT {_H.format('f')} & 65535 AS slot, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY 1""",
-    "chunk_best": f"WITH RECURSIVE {_W}, {_COL}, {_BEST}, e AS (SELECT word, p[j + 1] AS paths, list_max(list_transform([1, 2, 3], lambda y: [a[j + 1][y][1], y])) AS top FROM d WHERE j = length(word)) SELECT word, CAST(top[1] AS BIGINT) AS best FROM e WHERE paths[CAST(top[2] AS INT)] IS NOT NULL",
+    "chunk_best": f"WITH RECURSIVE {_W}, {_COL}, {_BEST} SELECT word, CAST(list_max(list_transform(a[j + 1], lambda x: x[1])) AS BIGINT) AS best FROM d WHERE j = length(word)",
     "chunk_decode": f"WITH RECURSIVE {_W}, {_COL}, {_BEST}, {_SUMS}, e AS (SELECT word, a[j + 1] AS last, p[j + 1] AS paths, list_max(list_transform([1, 2, 3], lambda y: [a[j + 1][y][1], y])) AS top FROM d WHERE j = length(word)) SELECT e.word, CAST(top[1] AS BIGINT) AS score, paths[CAST(top[2] AS INT)] AS path, round({_LSE.format('z.a[z.j + 1]')}, 6) AS log_z FROM e JOIN z ON e.word = z.word AND z.j = length(z.word)",
     "chunk_posterior": f"WITH RECURSIVE {_W}, {_COL}, {_SUMS}, e AS (SELECT word, {_LSE.format('a[j + 1]')} AS log_z FROM z WHERE j = length(word)) SELECT * FROM (SELECT e.word, unnest([0, 1, 2]) AS y, round(exp(unnest(s[1]) + unnest({_list(GT0)}) - log_z), 6) AS p FROM e JOIN col ON e.word = col.word AND col.j = length(e.word)) WHERE p > 0",
     "path_labels": f"WITH {_W}, {_R}, x AS (SELECT list_filter([CASE WHEN a <> '' THEN 0 END, 2, CASE WHEN c <> '' THEN 1 END], lambda v: v IS NOT NULL) AS y FROM r) SELECT before, y, count(*) AS n FROM (SELECT unnest(list_prepend(-1, y[1:len(y) - 1])) AS before, unnest(y) AS y FROM x) GROUP BY ALL",
