@@ -115,7 +115,7 @@ def test_metrics(spark):
     assert (got.ur_acc, got.seg_acc, got.f1, got.edit) == (0.5, 0.5, pytest.approx((1 + 2 / 3) / 2), 1.0)
 
 
-@pytest.mark.parametrize("name", ["parse_leaves", "tree_nodes", "alphabet", "next_state", "feature_counts", "chunk_best", "align_best", "rerank_best", "seg_metrics", "adagrad_l1_step", "potentials_join", "coverage"])
+@pytest.mark.parametrize("name", ["parse_leaves", "tree_nodes", "alphabet", "next_state", "feature_counts", "chunk_best", "align_best", "rerank_best", "seg_metrics", "adagrad_l1_step", "potentials_join", "coverage", "chunk_decode", "chunk_posterior", "tree_decode", "transduce_best", "grad_sum", "path_labels"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{DATA}/*.parquet"):
@@ -198,4 +198,4 @@ def test_transitions_are_learned(spark):
     weights, _ = training.train(words, gold, "chunk", iterations=6, optimizer=AdaGrad(eta=1.0), features=features)
     assert {tuple(r.labels) for r in training.segmented(words, features, weights, "chunk").collect()} == {(0, 2)}
     gt0, gt = training.transitions(weights)
-    assert gt0[0] > gt0[2] and gt[0][2] > gt[2][2]
+    assert gt0[0] > gt0[1] and gt[0][2] > gt[2][0] + 0.1 and gt[0][2] > gt[0][0] + 0.1
