@@ -62,3 +62,26 @@ def test_linked_spans_equal_sql(spark, tmp_path):
     want = base.execute(f"SELECT {columns} FROM ({secrets.SQL})").fetchall()
     got = [tuple(r) for r in secrets.op1_secrets(spark, str(tmp_path)).selectExpr(*columns.split(", ")).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and sum(r[-1] for r in got) > 500
+
+
+def test_fixity_of_crowded_pages(spark):
+    rows = [(k, f"http://x/{k}", f"<p>{k}</p>") for k in range(600)] + [(-1, "hot", "same")] * 2000 + [(-1, "hot", f"other {k}") for k in range(900)]
+    schema = "page_id long, url string, html string"
+    pages = spark.createDataFrame(rows, schema)
+    lost = spark.createDataFrame([x if x[2] != "other 5" else (-1, "hot", "BAD") for x in rows if x[0] != 20], schema)
+    crowd = warc.crowded(pages)
+    assert [r.c for r in crowd.collect()] == [2900]
+    one, two = warc.leaves(pages, 7, crowd).cache(), warc.leaves(lost, 7, crowd).cache()
+    assert one.count() == len(rows) and one.groupBy("archive").count().agg(F.max("count")).first()[0] < 2000
+    assert one.groupBy("archive", "ordinal").count().where("count > 1").count() == 0
+    assert sorted(r.status for r in warc.audit(one, two).collect()) == ["damaged", "missing"]
+    found = {(r.page_id, r.status) for r in warc.audit(one, two).join(one, ["archive", "ordinal"]).collect()}
+    assert found == {(-1, "damaged"), (20, "missing")}
+
+
+def test_fixity_of_offsets(spark):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k}</p>") for k in range(100)], "page_id long, url string, html string")
+    one = warc.leaves(pages, 2).cache()
+    at = one.where("page_id = 40").first()
+    two = one.withColumn("offset", F.when((F.col("archive") == at.archive) & (F.col("ordinal") >= at.ordinal), F.col("offset") + 9).otherwise(F.col("offset")))
+    assert [tuple(r) for r in warc.audit(one, two).collect()] == [(at.archive, at.ordinal, "displaced")]
