@@ -1,11 +1,15 @@
 """Tests of whole results: what the first round's operators left out."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.llm import line_dedup, secrets, warc
+from lexiforge.llm import langid, line_dedup, ngram_lm, secrets, warc
 
 
 def test_line_dedup_of_whole_runs(spark):
@@ -85,3 +89,82 @@ def test_fixity_of_offsets(spark):
     at = one.where("page_id = 40").first()
     two = one.withColumn("offset", F.when((F.col("archive") == at.archive) & (F.col("ordinal") >= at.ordinal), F.col("offset") + 9).otherwise(F.col("offset")))
     assert [tuple(r) for r in warc.audit(one, two).collect()] == [(at.archive, at.ordinal, "displaced")]
+
+
+def brute_discounts(counts):
+    n = [sum(1 for c in counts if c == k) for k in range(5)]
+    out = [0.0, 0.5, 0.75, 0.9]
+    if n[1] and n[2]:
+        y = n[1] / (n[1] + 2 * n[2])
+        out[1:] = [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) if n[k] else out[k] for k in (1, 2, 3)]
+    return lambda c: out[min(c, 3)]
+
+
+def test_perplexity_equals_brute_force(spark):
+    pick = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(60)]
+    draw = lambda: " ".join(vocabulary[int(60 * pick.random() ** 3)] for _ in range(pick.randint(0, 25)))
+    learned, told = [draw() for _ in range(300)], [draw() for _ in range(40)] + ["", "unseen words w1 w2 unseen", "W1 w1\tw2\nw3"]
+    pairs = Counter(p for t in learned for p in zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True))
+    after, before = Counter(), Counter()
+    follows = {}
+    for (u, w), c in pairs.items():
+        after[u] += c
+        before[w] += 1
+        follows.setdefault(u, []).append(c)
+    d2, d1 = brute_discounts(pairs.values()), brute_discounts(before.values())
+    spare = sum(d1(c) for c in before.values()) / len(pairs)
+
+    def p(u, w):
+        low = max(before[w] - d1(before[w]), 0) / len(pairs) + spare / (len(before) + 1)
+        if u not in after:
+            return low
+        return max(pairs[u, w] - d2(pairs[u, w]), 0) / after[u] + sum(map(d2, follows[u])) / after[u] * low
+
+    want = [sum(math.log10(p(u, w)) for u, w in zip(["<s>", *t.lower().split()], [*t.lower().split(), "</s>"], strict=True)) for t in told]
+    model = ngram_lm.train(spark.createDataFrame([(t,) for t in learned], "text string").repartition(3))
+    got = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame(list(enumerate(told)), "doc_id long, text string"), model).collect()}
+    assert [got[k].lm_score for k in range(len(told))] == pytest.approx(want, rel=1e-9)
+    total = Counter(w for t in learned for w in [*t.split(), "</s>"])
+    base = lambda t: sum(math.log10((total[w] + 0.1) / (sum(total.values()) + 0.1 * (len(total) + 1))) for w in [*t.lower().split(), "</s>"])
+    assert [got[k].base_score for k in range(len(told))] == pytest.approx([base(t) for t in told], rel=1e-9)
+
+
+def test_language_surprise_equals_brute_force(spark):
+    pick = random.Random(12)
+    sounds = {"a": ["la", "mo", "né", "ti "], "b": ["sch", "ung", "ei, ", "x"]}
+    draw = lambda lang: "".join(pick.choice(sounds[lang]) for _ in range(pick.randint(1, 30)))
+    learned = [(draw(lang), lang) for _ in range(80) for lang in sounds]
+    told = [draw(lang) for lang in "ab" * 10] + ["Zq 1!? Ünß", "LA la  la..."]
+    signs = lambda t: re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower()))
+    gram_list = lambda t: ["|||"[: max(3 - k, 0)] + s[max(k - 3, 0) : k + 1] for k in range(len(s))] if (s := signs(t)) else []
+
+    def model(lang):
+        counts, out = Counter(g for t, x in learned if x == lang for g in gram_list(t)), []
+        for _ in range(4):
+            d = brute_discounts(counts.values())
+            contexts = {}
+            for g, c in counts.items():
+                contexts.setdefault(g[:-1], []).append(c)
+            out.insert(0, (counts, {x: (sum(v), sum(map(d, v))) for x, v in contexts.items()}, d))
+            counts = Counter(g[1:] for g in counts)
+        return out
+
+    def surprise(levels, t):
+        total, own = 0.0, gram_list(t)
+        for g in own:
+            p = 1 / (len(levels[0][0]) + 1)
+            for m, (counts, contexts, d) in enumerate(levels, 1):
+                h = g[4 - m :]
+                if h[:-1] in contexts:
+                    n, mass = contexts[h[:-1]]
+                    p = max(counts[h] - d(counts[h]), 0) / n + mass / n * p
+            total -= math.log(p)
+        return total / len(own)
+
+    models = {lang: model(lang) for lang in sounds}
+    folder = langid.train(spark.createDataFrame(learned, "text string, lang string").repartition(3))
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(told)), "doc_id long, text string"), folder).collect()}
+    for k, t in enumerate(told):
+        want = min((surprise(m, t), lang) for lang, m in models.items())
+        assert got[k].lang_surprise == pytest.approx(want[0], rel=1e-9) and got[k].lang_pred == want[1]
