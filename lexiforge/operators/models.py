@@ -306,28 +306,46 @@ def softmax(scores: DataFrame, by: str = "word_id", score: str = "score") -> Dat
 
 
 def packed_arcs(words: DataFrame, potentials: DataFrame) -> DataFrame:
-    """word_id, word and transducer scores (word_id, i, x, y: place among the symbols, score) as parallel arrays."""
-    rows = potentials.groupBy("word_id").agg(*(F.collect_list(c).alias(c) for c in ("i", "x", "y", "score")))
+    """word_id, word and transducer scores (word_id, i, x, y: place among the symbols, score) as parallel arrays. With a column
+    p, a score holds after that context only, unless p is -1."""
+    own = potentials if "p" in potentials.columns else potentials.withColumn("p", F.lit(-1))
+    rows = own.groupBy("word_id").agg(*(F.collect_list(c).alias(c) for c in ("i", "x", "y", "p", "score")))
     return words.select("word_id", "word").join(rows, "word_id")
 
 
-def scored_transducer(row, automaton: dp.Automaton, extra: int) -> dp.Transducer:
-    """The transducer of a row of packed_arcs; its scores hold after every context."""
-    table: dict = {}
-    for i, x, y, score in zip(row.i, row.x, row.y, row.score, strict=True):
-        table.setdefault((i, x), np.full((len(automaton.y), 1), dp.NEG))[y] = score
-    wide = {k: np.repeat(v, len(automaton.p), axis=1) for k, v in table.items()}
-    return dp.Transducer(automaton, row.word, lambda i, x: wide.get((i, x)), extra)
+def _arc_tables(row, automaton: dp.Automaton, arcs: dict[str, np.ndarray]) -> dict[tuple[int, str], np.ndarray]:
+    """Scores [y, p] of the places (i, x) of a row of packed_arcs with the scores arcs[x][y, p] that hold for all words."""
+    out: dict = {}
+    shape = (len(automaton.y), len(automaton.p))
+    for i, x, y, p, score in zip(row.i, row.x, row.y, row.p, row.score, strict=True):
+        if (i, x) not in out:
+            out[i, x] = np.zeros(shape), np.zeros(shape, bool)
+        value, seen = out[i, x]
+        if p < 0:
+            value[y] += score
+            seen[y] = True
+        else:
+            value[y, p] += score
+    return {k: np.where(seen, value + arcs.get(k[1], 0.0), dp.NEG) for k, (value, seen) in out.items()}
+
+
+def scored_transducer(row, automaton: dp.Automaton, extra: int, arcs: dict[str, np.ndarray] | None = None) -> dp.Transducer:
+    """The transducer of a row of packed_arcs."""
+    table = _arc_tables(row, automaton, arcs or {})
+    return dp.Transducer(automaton, row.word, lambda i, x: table.get((i, x)), extra)
 
 
-def transduce_scored(scored: DataFrame, symbols: list[str], contexts: list[str], extra: int = 6) -> DataFrame:
-    """word_id, word, score, ur, log_z by scores from features."""
+def transduce_scored(scored: DataFrame, symbols: list[str], contexts: list[str], extra: int = 6, arcs: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """word_id, word, score, ur, log_z by scores from features, and by those of arcs for all words."""
     automaton = dp.Automaton(symbols, contexts)
 
     def each(rows):
-        for row in rows.itertuples(index=False):
-            t = scored_transducer(row, automaton, extra)
-            score, ur, _ = t.decode()
-            yield row.word_id, row.word, score, ur, t.log_z()
+        found = [_arc_tables(r, automaton, arcs or {}) for r in rows.itertuples(index=False)]
+        words, none = rows["word"].tolist(), np.full((len(symbols), len(contexts)), dp.NEG)
+        n = len(words[0])
+        at = lambda i, j: np.stack([t.get((i, w[i:j]), none) for t, w in zip(found, words, strict=True)])
+        t = dp.TransducerBatch(automaton, n, [[(j, at(i, j)) for j in (i, i + 1) if j <= n] for i in range(n + 1)], extra)
+        for key, word, (score, ur, _), z in zip(rows["word_id"], words, t.decode(), t.log_z(), strict=True):
+            yield key, word, score, ur, z
 
     return _mapped(scored, "word_id long, word string, score double, ur string, log_z double", each)

@@ -83,6 +83,22 @@ def context_features(contexts: DataFrame) -> DataFrame:
     return contexts.select("symbol", F.explode(F.transform(F.sequence(F.lit(0), F.length("symbol")), lambda k: F.substring("symbol", k + 1, F.length("symbol")))).alias("feature"))
 
 
+def arc_features(symbols: DataFrame, contexts: DataFrame) -> DataFrame:
+    """x, out, p, feature of every arc x:out after context p, whatever the word: the pair, whether it copies, the suffixes of
+    the context, and these with the pair and with copies. symbols: symbol, id; contexts: symbol. All are small tables."""
+    pairs = alignments(symbols).select("x", F.col("y").alias("out"), F.concat_ws(">", "x", "y").alias("pair"), "is_copy")
+    after = context_features(contexts).select(F.col("symbol").alias("p"), F.col("feature").alias("s"))
+    own = contexts.select(F.col("symbol").alias("p"))
+    plain = pairs.join(own, F.lit(True)).select("x", "out", "p", F.explode(F.array(F.concat(F.lit("pair:"), "pair"), F.when(F.col("is_copy"), "copy").otherwise("change"))).alias("feature"))
+    each = F.array(F.concat(F.lit("after:"), "s"), F.concat(F.lit("after:"), "s", F.lit("|"), "pair"), F.when(F.col("is_copy"), F.concat(F.lit("after:"), "s", F.lit("|copy"))))
+    return plain.union(pairs.join(after, F.lit(True)).select("x", "out", "p", F.explode(F.filter(each, lambda t: t.isNotNull())).alias("feature")))
+
+
+def tagged(features: DataFrame, tag: str) -> DataFrame:
+    """The same features under names of their own, for weights of another kind."""
+    return features.withColumn("feature", F.concat(F.lit(tag), "feature"))
+
+
 def potentials(features: DataFrame, weights: DataFrame, labels: int, default: float = -0.1, by: tuple[str, ...] = ("word_id", "i", "j")) -> DataFrame:
     """by, y, score: the sum of the weights (k, w) of a place's features for each label; unknown weights count default.
 

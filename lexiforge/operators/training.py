@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,33 +205,87 @@ def joint_step(words: DataFrame, truth: DataFrame, weighted: DataFrame, scorer:
     return _moved(scorer, _pair_sums(rows, scorer, lambda t, row: [[row.weight * v for v in own] for own in t.expected_clamped(row.ur)]), eta)
 
 
-def transducer_gradient(scored: DataFrame, gold: DataFrame, symbols: list[str], contexts: list[str], extra: int = 6) -> DataFrame:
-    """word_id, i, x, y, g of the negative log-likelihood by the arcs' scores, summed over contexts. gold: word_id, ur_gold."""
+@dataclass(frozen=True)
+class ArcModel:
+    """What a transducer over features scores: the segment and surroundings of a place by output symbol, by copying, and by
+    output symbol after a context; and the arcs themselves by pair, copying and context, whatever the word."""
+
+    symbols: list[str]
+    contexts: list[str]
+    places: DataFrame
+    arcs: DataFrame
+
+    @classmethod
+    def of(cls, words: DataFrame, symbols: list[str], contexts: list[str], width: int = 6, marks: tuple[str, ...] = ()) -> ArcModel:
+        if len(symbols) ** 2 * len(contexts) > models.MOST_WEIGHTS:
+            raise ValueError(f"more than {models.MOST_WEIGHTS} arcs")
+        spark = words.sparkSession
+        letters = spark.createDataFrame(list(zip(symbols, range(len(symbols)), strict=True)), "symbol string, id int")
+        after = spark.createDataFrame([(c,) for c in contexts], "symbol string")
+        return cls(symbols, contexts, tables.transducer_features(words, width, marks), tables.arc_features(letters, after))
+
+    @property
+    def _copied(self) -> DataFrame:
+        return self.places.sparkSession.createDataFrame(list(zip(self.symbols, range(len(self.symbols)), strict=True)), "x string, y int")
+
+    def scores(self, words: DataFrame, weights: DataFrame, default: float) -> tuple[DataFrame, dict[str, np.ndarray]]:
+        """(rows of models.packed_arcs, scores [y, p] of the arcs by x) under weights (k, w)."""
+        by, wide = ("word_id", "i", "x"), len(self.contexts)
+        plain = tables.potentials(self.places, weights, len(self.symbols), default, by).select(*by, "y", F.lit(-1).alias("p"), "score")
+        copies = tables.potentials(tables.tagged(self.places, "copy&"), weights, 1, default, by).drop("y").join(F.broadcast(self._copied), "x").select(*by, "y", F.lit(-1).alias("p"), "score")
+        after = tables.potentials(tables.tagged(self.places, "after&"), weights, len(self.symbols) * wide, default, by)
+        after = after.select(*by, F.expr(f"y div {wide}").cast("int").alias("y"), (F.col("y") % wide).alias("p"), "score")
+        places = plain.union(copies).union(after).groupBy(*by, "y", "p").agg(F.sum("score").alias("score"))
+        arcs = {x: np.zeros((len(self.symbols), wide)) for x in self.symbols}
+        y, p = ({c: k for k, c in enumerate(own)} for own in (self.symbols, self.contexts))
+        # as many rows as arcs, whose number is checked
+        for r in tables.potentials(self.arcs, weights, 1, default, ("x", "out", "p")).select("x", "out", "p", "score").collect():
+            arcs[r.x][y[r.out], p[r.p]] = r.score
+        return models.packed_arcs(words, places), arcs
+
+    def gradient(self, gradient: DataFrame) -> DataFrame:
+        """k, g of the sums (word_id, i, x, y, p, g) by the arcs' scores."""
+        by, wide = ("word_id", "i", "x"), len(self.contexts)
+        by_y = gradient.groupBy(*by, "y").agg(F.sum("g").alias("g"))
+        copies = by_y.join(F.broadcast(self._copied), ["x", "y"]).withColumn("y", F.lit(0))
+        after = gradient.withColumn("y", F.col("y") * wide + F.col("p")).select(*by, "y", "g")
+        named = [self.places.sparkSession.createDataFrame([(k, c) for k, c in enumerate(own)], f"{n} int, {t} string") for own, n, t in ((self.symbols, "y", "out"), (self.contexts, "p", "context"))]
+        arcs = gradient.groupBy("x", "y", "p").agg(F.sum("g").alias("g")).join(F.broadcast(named[0]), "y").join(F.broadcast(named[1]), "p")
+        arcs = arcs.select("x", "out", F.col("context").alias("p"), F.lit(0).alias("y"), "g")
+        parts = [
+            tables.gradient_by_feature(self.places, by_y, len(self.symbols), by),
+            tables.gradient_by_feature(tables.tagged(self.places, "copy&"), copies, 1, by),
+            tables.gradient_by_feature(tables.tagged(self.places, "after&"), after, len(self.symbols) * wide, by),
+            tables.gradient_by_feature(self.arcs, arcs, 1, ("x", "out", "p")),
+        ]
+        return reduce(DataFrame.union, parts).groupBy("k").agg(F.sum("g").alias("g"))
+
+
+def transducer_gradient(scored: DataFrame, gold: DataFrame, symbols: list[str], contexts: list[str], extra: int = 6, arcs: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """word_id, i, x, y, p, g of the negative log-likelihood by the arcs' scores. gold: word_id, ur_gold."""
     automaton = dp.Automaton(symbols, contexts)
 
     def each(rows):
         for row in rows.itertuples(index=False):
-            t = models.scored_transducer(row, automaton, extra)
+            t = models.scored_transducer(row, automaton, extra, arcs)
             for i, (own, grads) in enumerate(zip(t.moves, t.gradient(row.ur_gold), strict=True)):
                 for (j, _), g in zip(own, grads, strict=True):
-                    for y, v in enumerate(g.sum(axis=1)):
-                        if v:
-                            yield row.word_id, i, row.word[i:j], y, -float(v)
+                    for y, p in zip(*(a.tolist() for a in np.nonzero(g)), strict=True):
+                        yield row.word_id, i, row.word[i:j], y, p, -float(g[y, p])
 
-    return models._mapped(scored.join(gold.select("word_id", "ur_gold"), "word_id"), "word_id long, i int, x string, y int, g double", each)
+    return models._mapped(scored.join(gold.select("word_id", "ur_gold"), "word_id"), "word_id long, i int, x string, y int, p int, g double", each)
 
 
 def train_transducer(words: DataFrame, symbols: list[str], contexts: list[str], iterations: int = 20, optimizer: AdaGrad | None = None, extra: int = 6) -> tuple[DataFrame, list[DataFrame]]:
     """(weights, exact-match accuracy of the best output against ur_gold for each epoch) from words (word_id, word, ur_gold),
-    by the same batch steps as train()."""
+    by the same batch steps as train(). The weights are those of ArcModel."""
     optimizer = optimizer or AdaGrad(eta=1.0, c=1e-7)
-    by = ("word_id", "i", "x")
-    features = tables.transducer_features(words)
-    weights, metrics = words.sparkSession.createDataFrame([], "k long, w double, q double, u int"), []
+    model = ArcModel.of(words, symbols, contexts)
+    weights, metrics = no_weights(words.sparkSession), []
     for step in range(1, iterations + 1):
-        scored = models.packed_arcs(words, tables.potentials(features, weights, len(symbols), optimizer.initial_w, by))
-        gradient = transducer_gradient(scored, words, symbols, contexts, extra)
-        best = models.transduce_scored(scored, symbols, contexts, extra).join(words.select("word_id", "ur_gold"), "word_id")
+        scored, arcs = model.scores(words, weights, optimizer.initial_w)
+        gradient = checkpointed(transducer_gradient(scored, words, symbols, contexts, extra, arcs))
+        best = models.transduce_scored(scored, symbols, contexts, extra, arcs).join(words.select("word_id", "ur_gold"), "word_id")
         metrics.append(best.agg(F.avg((F.col("ur") == F.col("ur_gold")).cast("double")).alias("ur_acc")))
-        weights = checkpointed(optimizer.step(weights, tables.gradient_by_feature(features, gradient, len(symbols), by), step))
+        weights = checkpointed(optimizer.step(weights, model.gradient(gradient), step))
     return optimizer.finalize(weights, iterations + 1), metrics

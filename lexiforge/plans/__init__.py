@@ -7,6 +7,7 @@ fixed affix rules. Scores come from hashes, so that every engine has the same on
 from __future__ import annotations
 
 import hashlib
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,6 +180,27 @@ def q_transduce_best(spark, sf_dir):
     return models.transduce(words(spark, sf_dir), hashed_scorer()).select("word", "ur", F.col("score").cast("long").alias("score"))
 
 
+def _logz(spark, sf_dir, **limits):
+    out = models.transduce(words(spark, sf_dir), replace(hashed_scorer(), **limits))
+    return out.select("word", F.round("log_z", 6).alias("log_z"))
+
+
+def q_transduce_logz(spark, sf_dir):
+    """Log partition function over all outputs."""
+    return _logz(spark, sf_dir)
+
+
+def q_transduce_band(spark, sf_dir):
+    """The same over outputs within a band."""
+    return _logz(spark, sf_dir, band=3)
+
+
+def q_transduce_clamped(spark, sf_dir):
+    """Log sum of all alignments of each word with its stem."""
+    own = words(spark, sf_dir).select("word_id", "word", F.regexp_extract("word", RULE, 2).alias("ur"))
+    return models.clamped(own, hashed_scorer()).select("word_id", F.col("ur").alias("stem"), F.round("clamped", 6).alias("clamped"), F.round("ll", 6).alias("ll"))
+
+
 def q_transduce_sample(spark, sf_dir):
     """The most frequent of a thousand outputs of each word, and how many different ones there were."""
     scorer = models.TransducerScorer(LETTERS, [""])
@@ -306,6 +328,17 @@ def _side(size: str, at: str, label: str) -> str:
     return f"CASE WHEN {label} = 0 THEN p[{size}][{at}] ELSE substr(word, {at}, {size}) || ':' || {label} END"
 
 
+_PAIR = f"""pr AS (SELECT x, y, CASE WHEN x = '' THEN -6 ELSE {_H.format("x || '>' || y")} % 11 - 5 END AS s FROM (SELECT unnest(list_prepend('', string_split('abcdefghijklmnopqrstuvwxyz', ''))) AS x), (SELECT unnest(list_prepend('', string_split('abcdefghijklmnopqrstuvwxyz', ''))) AS y) WHERE x <> '' OR y <> ''),
+wt AS (SELECT x, sum(CASE WHEN y = '' THEN exp(s) ELSE 0 END) AS del, sum(CASE WHEN y <> '' THEN exp(s) ELSE 0 END) AS sub FROM pr WHERE x <> '' GROUP BY x), ins AS (SELECT sum(exp(s)) AS v FROM pr WHERE x = '')"""
+
+
+def _outputs(band: int) -> str:
+    """o: f[k + 1] is the sum over all ways to read i characters and write k, over exp(lg). Insertions come after each character."""
+    after = lambda g, i: f"list_transform(range(0, length(word) + 7), lambda k: CASE WHEN abs({i} - k) < {band} THEN list_sum(list_transform(range(greatest(0, {i} - {band - 1}), k + 1), lambda u: {g}[u + 1] * pow(v, k - u))) ELSE 0.0 END)"
+    return f"""{_PAIR}, o AS (SELECT word, v, 0 AS i, 0.0::DOUBLE AS lg, {after("list_prepend(1.0::DOUBLE, list_transform(range(0, length(word) + 6), lambda q: 0.0::DOUBLE))", "0")} AS f FROM w, ins UNION ALL
+SELECT word, v, i + 1, lg + ln(list_max(n)), list_transform(n, lambda q: q / list_max(n)) FROM (SELECT word, v, i, lg, {after("g", "(i + 1)")} AS n FROM (SELECT word, v, i, lg, list_transform(f, lambda q, k: q * del + CASE WHEN k > 1 THEN f[k - 1] * sub ELSE 0.0 END) AS g FROM o JOIN wt ON wt.x = substr(word, i + 1, 1))))"""
+
+
 SQL = {
     "corpus_words": f"WITH {_W} SELECT word_id, word, n FROM w",
     "parse_leaves": f"WITH {_W}, {_R}, x AS (SELECT word, unnest([a, b, c]) AS segment, unnest(['prefix', 'stem', 'suffix']) AS label, unnest([0, length(a), length(a) + length(b)]) AS i, unnest([0, 2, 1]) AS chunk FROM r) SELECT word, row_number() OVER (PARTITION BY word ORDER BY i) - 1 AS pos, segment, label, i, i + length(segment) AS j, chunk FROM x WHERE segment <> ''",
@@ -342,6 +375,14 @@ SELECT word, CAST(a[size][1] AS BIGINT) AS score, p[size][1] AS tree, round(z0[s
     "chunk_count": f"WITH {_W} SELECT word, round(log10(3.0) + (length(word) - 1) * log10(4.0), 6) AS log_paths FROM w",
     "align_best": f"WITH {_W}, {_R} SELECT word, b AS stem, -levenshtein(word, b) AS best FROM r",
     "transduce_best": f"WITH {_W}, l AS (SELECT unnest(list_prepend('', string_split('abcdefghijklmnopqrstuvwxyz', ''))) AS c), b AS (SELECT x, max(s) AS s, arg_max(y, s * 1000 + ascii(y)) AS y FROM (SELECT p.c AS x, q.c AS y, {_H.format("p.c || '>' || q.c")} % 11 - 5 AS s FROM l p, l q WHERE p.c <> '') GROUP BY x), u AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w) SELECT word, string_agg(y, '' ORDER BY i) AS ur, CAST(sum(s) AS BIGINT) AS score FROM u JOIN b ON b.x = substr(word, i, 1) GROUP BY word",
+    "transduce_logz": f"WITH RECURSIVE {_W}, {_outputs(1 << 20)} SELECT word, round(lg + ln(list_sum(f)), 6) AS log_z FROM o WHERE i = length(word)",
+    "transduce_band": f"WITH RECURSIVE {_W}, {_outputs(3)} SELECT word, round(lg + ln(list_sum(f)), 6) AS log_z FROM o WHERE i = length(word)",
+    "transduce_clamped": f"""WITH RECURSIVE {_W}, {_R}, {_outputs(1 << 20)}, z AS (SELECT word, lg + ln(list_sum(f)) AS log_z FROM o WHERE i = length(word)),
+row AS (SELECT word_id, r.word, b, i, list(exp(pr.s) ORDER BY k) AS sub, any_value(wt.del) AS del FROM (SELECT word_id, word, b, i, unnest(range(1, length(b) + 1)) AS k FROM (SELECT word_id, word, b, unnest(range(1, length(word) + 1)) AS i FROM r)) r JOIN pr ON pr.x = substr(r.word, CAST(i AS INT), 1) AND pr.y = substr(b, CAST(k AS INT), 1) JOIN wt ON wt.x = pr.x GROUP BY word_id, r.word, b, i),
+c AS (SELECT word_id, word, b, 0 AS i, 0.0::DOUBLE AS lg, list_transform(range(0, length(b) + 1), lambda k: pow(exp(-6.0), k)) AS f FROM r UNION ALL
+SELECT word_id, word, b, i + 1, lg + ln(list_max(n)), list_transform(n, lambda q: q / list_max(n)) FROM (SELECT word_id, word, b, i, lg, list_transform(range(0, len(g)), lambda k: list_sum(list_transform(range(0, k + 1), lambda u: g[u + 1] * pow(exp(-6.0), k - u)))) AS n
+FROM (SELECT c.*, list_transform(f, lambda q, k: q * del + CASE WHEN k > 1 THEN f[k - 1] * sub[k - 1] ELSE 0.0 END) AS g FROM c JOIN row ON row.word_id = c.word_id AND row.i = c.i + 1)))
+SELECT word_id, b AS stem, round(lg + ln(f[len(f)]), 6) AS clamped, round(lg + ln(f[len(f)]) - log_z, 6) AS ll FROM c JOIN z USING (word) WHERE i = length(word)""",
     "rerank_best": f"WITH {_W}, {_R}, {_CAND} SELECT word, pos, ur, score FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY score DESC, pos DESC) = 1",
     "softmax_weights": f"WITH {_W}, {_R}, {_CAND} SELECT word, pos, round(exp(score) / sum(exp(score)) OVER (PARTITION BY word), 6) AS weight FROM c",
     "seg_metrics": f"WITH {_W}, {_R}, {_M}, v AS (SELECT lang, word, truth AS t, guess AS g FROM m) SELECT lang, count(*) AS words, round(avg(CAST(array_to_string(g, '') = word AS INT)), 6) AS ur_acc, round(avg(CAST(g = t AS INT)), 6) AS seg_acc, round(avg({_F1}), 6) AS f1, round(avg(levenshtein(array_to_string(g, '#'), array_to_string(t, '#'))), 6) AS edit FROM v GROUP BY lang",

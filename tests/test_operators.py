@@ -115,7 +115,7 @@ def test_metrics(spark):
     assert (got.ur_acc, got.seg_acc, got.f1, got.edit) == (0.5, 0.5, pytest.approx((1 + 2 / 3) / 2), 1.0)
 
 
-@pytest.mark.parametrize("name", ["parse_leaves", "tree_nodes", "alphabet", "next_state", "feature_counts", "chunk_best", "align_best", "rerank_best", "seg_metrics", "adagrad_l1_step", "potentials_join", "coverage", "chunk_decode", "chunk_posterior", "tree_decode", "transduce_best", "grad_sum", "path_labels"])
+@pytest.mark.parametrize("name", ["parse_leaves", "tree_nodes", "alphabet", "next_state", "feature_counts", "chunk_best", "align_best", "rerank_best", "seg_metrics", "adagrad_l1_step", "potentials_join", "coverage", "chunk_decode", "chunk_posterior", "tree_decode", "transduce_best", "transduce_logz", "transduce_band", "transduce_clamped", "grad_sum", "path_labels"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{DATA}/*.parquet"):
@@ -140,18 +140,51 @@ def test_streaming(spark, tmp_path):
     assert spark.sql("SELECT ur FROM decoded").first().ur == "ab"
 
 
-def test_transducer_training(spark):
+def _likelihood(words, model, weights, extra=1):
     from lexiforge.operators import dp
 
-    words = spark.createDataFrame([(1, "aa", "ab"), (2, "ba", "bb")], "word_id long, word string, ur_gold string")
-    symbols, gold = ["", "a", "b"], {1: "ab", 2: "bb"}
-    weights, accuracy = training.train_transducer(words, symbols, [""], iterations=4, optimizer=AdaGrad(eta=0.05), extra=1)
+    scored, arcs = model.scores(words, weights, -0.1)
+    gold = {r.word_id: r.ur_gold for r in words.collect()}
+    return sum(models.scored_transducer(r, dp.Automaton(model.symbols, model.contexts), extra, arcs).log_likelihood(gold[r.word_id]) for r in scored.collect())
+
 
-    def likelihood(w):
-        scored = models.packed_arcs(words, tables.potentials(tables.transducer_features(words), w, 3, -0.1, ("word_id", "i", "x")))
-        return sum(models.scored_transducer(r, dp.Automaton(symbols, [""]), 1).log_likelihood(gold[r.word_id]) for r in scored.collect())
+def test_transducer_training(spark):
+    words = spark.createDataFrame([(1, "aa", "ab"), (2, "ba", "bb")], "word_id long, word string, ur_gold string")
+    symbols, contexts = ["", "a", "b"], ["", "a", "b"]
+    model = training.ArcModel.of(words, symbols, contexts)
+    weights, accuracy = training.train_transducer(words, symbols, contexts, iterations=2, optimizer=AdaGrad(eta=0.05), extra=1)
+    assert _likelihood(words, model, weights) > _likelihood(words, model, weights.limit(0)) + 0.5 and len(accuracy) == 2
+
+
+def test_transducer_gradient_by_feature(spark):
+    """Slots of all kinds of features, against differences of the likelihood."""
+    words = spark.createDataFrame([(1, "ab", "bb"), (2, "ba", "a")], "word_id long, word string, ur_gold string")
+    symbols, contexts = ["", "a", "b"], ["", "b"]
+    model = training.ArcModel.of(words, symbols, contexts, width=2)
+    names = {"pair:a>b": (1, 0), "copy": (1, 0), "change": (1, 0), "after:b": (1, 0), "after:b|b>b": (1, 0), "after:|copy": (1, 0), "x:a": (3, 2), "copy&x:b": (1, 0), "after&right:b": (6, 5)}
+    text = spark.createDataFrame([(n, *v) for n, v in names.items()], "f string, labels int, y int")
+    slot = {r.f: r.k for r in text.select("f", L.slot(L.hash_key(F.col("f")), F.col("labels"), F.col("y")).alias("k")).collect()}
+    start = [(k, 0.3 - 0.1 * n) for n, k in enumerate(slot.values())]
+    frame = lambda rows: spark.createDataFrame(rows, "k long, w double")
+    scored, arcs = model.scores(words, frame(start), -0.1)
+    got = {r.k: r.g for r in model.gradient(training.transducer_gradient(scored, words, symbols, contexts, 1, arcs)).collect()}
+    for name in ("copy", "after:b|b>b", "copy&x:b", "after&right:b"):
+        up, down = ([(k, w + e * (k == slot[name])) for k, w in start] for e in (1e-4, -1e-4))
+        numeric = (_likelihood(words, model, frame(up)) - _likelihood(words, model, frame(down))) / 2e-4
+        assert -got[slot[name]] == pytest.approx(numeric, abs=1e-5) and abs(numeric) > 1e-3, name
+
+
+def test_batched_transducer_equals_single_words(spark):
+    from lexiforge.operators import dp
 
-    assert likelihood(weights) > likelihood(weights.limit(0)) + 0.5 and len(accuracy) == 4
+    words = spark.createDataFrame([(1, "ab", "b"), (2, "bb", "b"), (3, "a", "a"), (4, "", "")], "word_id long, word string, ur_gold string")
+    symbols, contexts = ["", "a", "b"], ["", "b"]
+    model = training.ArcModel.of(words, symbols, contexts)
+    scored, arcs = model.scores(words, spark.range(400).select(F.col("id").alias("k"), F.lit(0.5).alias("w")).union(spark.sql("SELECT k, (k % 7) / 5 - 0.5 FROM (SELECT explode(sequence(0, 4194303, 3)) AS k)")).dropDuplicates(["k"]), -0.1)
+    got = {r.word_id: r for r in models.transduce_scored(scored, symbols, contexts, 2, arcs).collect()}
+    for row in scored.collect():
+        t = models.scored_transducer(row, dp.Automaton(symbols, contexts), 2, arcs)
+        assert got[row.word_id].log_z == pytest.approx(t.log_z()) and got[row.word_id].score == pytest.approx(t.decode()[0]) and got[row.word_id].ur == t.decode()[1]
 
 
 @pytest.mark.parametrize("segmenter", ["chunk", "tree"])
