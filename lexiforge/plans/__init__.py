@@ -372,6 +372,17 @@ FROM (SELECT *, list_transform(inner_z, lambda x, i: s[i][1] + greatest(x, 0.0)
 FROM (SELECT d.*, rw.s, list_transform(range(1, len(rw.s) + 1), lambda i: list_max(list_transform(range(1, d.size + 1), lambda l: list_max(list_transform(range(1, 10), lambda q: [{_part('l', 'i', '[1, 1, 2, 2, 0, 0, 1, 2, 0][q]')} + {_part('d.size + 1 - l', 'i + l', '[1, 2, 1, 2, 1, 2, 0, 0, 0][q]')}, l, q]))))) AS top,
   list_transform(range(1, len(rw.s) + 1), lambda i: {_LSE.format('list_transform(range(1, d.size + 1), lambda l: z[l][i] + z[d.size + 1 - l][i + l])')}) AS inner_z FROM d JOIN rw ON d.word = rw.word AND rw.size = d.size + 1)))
 SELECT word, CAST(a[size][1] AS BIGINT) AS score, p[size][1] AS tree, round(z0[size][1], 6) AS log_z FROM d WHERE size = length(word)""",
+    # the derivatives of log_z by a shift of all scores of a label, carried along with the sums from the leaves up
+    "tree_nodes_expected": f"""WITH RECURSIVE {_W}, ge AS (SELECT word, i, j, list({_GE} ORDER BY y) AS s FROM (SELECT word, i, unnest(range(i + 1, length(word) + 1)) AS j FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)), (SELECT unnest([0, 1, 2]) AS y) GROUP BY word, i, j),
+rw AS MATERIALIZED (SELECT word, j - i AS size, list(s ORDER BY i) AS s FROM ge GROUP BY word, j - i),
+d AS (SELECT word, 1 AS size, [list_transform(s, lambda x: {_LSE.format('x')})] AS z, [list_transform(s, lambda x: list_transform(x, lambda q: exp(q - {_LSE.format('x')})))] AS dz, [1.0::DOUBLE, 0.0, 0.0] AS root FROM rw WHERE size = 1 UNION ALL
+SELECT word, size + 1, list_append(z, list_transform(n, lambda q: q[1])), list_append(dz, list_transform(n, lambda q: [exp(q[2] - q[1]) * q[5], exp(q[2] - q[1]) * q[6] + exp(q[3] - q[1]), exp(q[2] - q[1]) * q[7] + exp(q[4] - q[1])])), [n[1][5], n[1][6], n[1][7]]
+FROM (SELECT word, size, z, dz, list_transform(zs, lambda q, i: [{_LSE.format('[q, s[i][2], s[i][3]]')}, q, s[i][2], s[i][3], 1 + g[i] * list_sum(list_transform(range(1, size + 1), lambda l: t[i][l] * (dz[l][i][1] + dz[size + 1 - l][i + l][1]))),
+  g[i] * list_sum(list_transform(range(1, size + 1), lambda l: t[i][l] * (dz[l][i][2] + dz[size + 1 - l][i + l][2]))), g[i] * list_sum(list_transform(range(1, size + 1), lambda l: t[i][l] * (dz[l][i][3] + dz[size + 1 - l][i + l][3])))]) AS n
+FROM (SELECT *, list_transform(u, lambda q, i: s[i][1] + greatest(q, 0.0) + ln(exp(-greatest(q, 0.0)) + exp(q - greatest(q, 0.0)))) AS zs, list_transform(u, lambda q: 1 / (1 + exp(-q))) AS g, list_transform(ways, lambda q, i: list_transform(q, lambda e: exp(e - u[i]))) AS t
+FROM (SELECT *, list_transform(ways, lambda q: {_LSE.format('q')}) AS u
+FROM (SELECT d.*, rw.s, list_transform(range(1, len(rw.s) + 1), lambda i: list_transform(range(1, d.size + 1), lambda l: z[l][i] + z[d.size + 1 - l][i + l])) AS ways FROM d JOIN rw ON d.word = rw.word AND rw.size = d.size + 1)))))
+SELECT word_id, y, nodes FROM (SELECT word_id, unnest([0, 1, 2]) AS y, round(unnest(root), 6) AS nodes, length(word) AS m FROM d JOIN w USING (word) WHERE size = length(word)) WHERE m > 1 OR y = 0""",
     "chunk_count": f"WITH {_W} SELECT word, round(log10(3.0) + (length(word) - 1) * log10(4.0), 6) AS log_paths FROM w",
     "align_best": f"WITH {_W}, {_R} SELECT word, b AS stem, -levenshtein(word, b) AS best FROM r",
     "transduce_best": f"WITH {_W}, l AS (SELECT unnest(list_prepend('', string_split('abcdefghijklmnopqrstuvwxyz', ''))) AS c), b AS (SELECT x, max(s) AS s, arg_max(y, s * 1000 + ascii(y)) AS y FROM (SELECT p.c AS x, q.c AS y, {_H.format("p.c || '>' || q.c")} % 11 - 5 AS s FROM l p, l q WHERE p.c <> '') GROUP BY x), u AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w) SELECT word, string_agg(y, '' ORDER BY i) AS ur, CAST(sum(s) AS BIGINT) AS score FROM u JOIN b ON b.x = substr(word, i, 1) GROUP BY word",
@@ -399,7 +410,7 @@ SELECT word_id, b AS stem, round(lg + ln(f[len(f)]), 6) AS clamped, round(lg + l
 
 #: Columns that are long in both.
 LONG = {
-    "parse_leaves": "pos i j chunk", "tree_nodes": "node_id parent_id i j label", "alphabet": "id", "substring_ids": "id n", "feature_counts": "slot n", "align_best": "best", "transduce_best": "score", "chunk_posterior": "y", "path_labels": "before y n", "tree_yield": "n m leaves", "grad_sum": "k g",
+    "parse_leaves": "pos i j chunk", "tree_nodes": "node_id parent_id i j label", "alphabet": "id", "substring_ids": "id n", "feature_counts": "slot n", "align_best": "best", "transduce_best": "score", "chunk_posterior": "y", "path_labels": "before y n", "tree_nodes_expected": "y", "tree_yield": "n m leaves", "grad_sum": "k g",
     "rerank_best": "pos score", "softmax_weights": "pos", "adagrad_l2_step": "u", "adagrad_l1_step": "u", "adagrad_catchup": "u", "potentials_join": "y score", "scatter_add": "k v",
 }
 
