@@ -23,8 +23,10 @@ MODES = ("baseline", "oracle", "viterbi", "sample")
 @dataclass(frozen=True)
 class Config:
     """Paths of corpora, the segmenter (chunk or tree), the candidates (a mode or all) and what the models need. t_ and s_ set
-    the transducer's and the segmenter's step, regularization and norm. training: pipeline (one after the other) or joint. out:
-    a folder for weights and metrics of each epoch."""
+    the transducer's and the segmenter's step, regularization and norm. training: pipeline (one after the other) or joint.
+    transducer: weights of pairs of characters, or of features (places, copies and contexts; with after 1 also the character
+    written last), which move many weights at once and so want a smaller t_eta, such as 0.05.
+    out: a folder for weights and metrics of each epoch."""
 
     dev: str
     test: str | None = None
@@ -37,6 +39,8 @@ class Config:
     labels: int = 3
     default_weight: float = -0.1
     training: str = "pipeline"
+    transducer: str = "pairs"
+    after: int = 0
     iterations: int = 20
     joint_samples: int = 10
     t_eta: float = 1.0
@@ -54,6 +58,8 @@ class Config:
             raise ValueError(f"unknown decode mode {self.decode}")
         if self.training not in ("pipeline", "joint"):
             raise ValueError(f"unknown training {self.training}")
+        if self.transducer not in ("features", "pairs"):
+            raise ValueError(f"unknown transducer {self.transducer}")
 
     @property
     def modes(self) -> tuple[str, ...]:
@@ -87,7 +93,7 @@ def starting_scorer(words: DataFrame, extra: int = 6) -> models.TransducerScorer
     return models.TransducerScorer([r.symbol for r in letters.orderBy("id").collect()], [""], extra=extra)
 
 
-def fit(spark: SparkSession, config: Config) -> tuple[models.TransducerScorer, DataFrame]:
+def fit(spark: SparkSession, config: Config) -> tuple[models.TransducerScorer | training.FittedArcs, DataFrame]:
     """(transducer, weights of the segmenter) trained on config.train; each epoch is saved and logged in config.out."""
     words = training.checkpointed(load(spark, config.train, config.cap))
     truth = training.checkpointed(gold(words, config.segmenter))
@@ -101,17 +107,34 @@ def fit(spark: SparkSession, config: Config) -> tuple[models.TransducerScorer, D
             acc = seg.agg(F.lit(config.segmenter).alias("model"), F.lit(epoch).alias("epoch"), F.avg((F.col("segments") == F.col("truth")).cast("double")).alias("accuracy"))
             sources.log_metrics(acc, f"{config.out}/log")
 
+    symbols, contexts = scorer.symbols, scorer.symbols if config.after else [""]
+    arcs = AdaGrad(config.t_eta, config.t_c, initial_w=config.default_weight)
+    fitted = lambda w: training.FittedArcs(symbols, contexts, w, config.default_weight, config.extra)
+    over_features = config.transducer == "features"
     if config.training == "joint":
-        scorer, weights, told = training.joint(words, truth, scorer, training.no_weights(spark), config.segmenter, config.labels, config.iterations, config.joint_samples, config.s_eta, optimizer, config.seed)
+        model = training.ArcModel.of(words, symbols, contexts) if over_features else scorer
+        found, weights, told = training.joint(words, truth, model, training.no_weights(spark), config.segmenter, config.labels, config.iterations, config.joint_samples, config.s_eta, optimizer, config.seed, arcs, config.extra)
+        scorer = fitted(found) if over_features else found
         if config.out:
             sources.log_metrics(spark.createDataFrame([("joint", k + 1, float(x)) for k, x in enumerate(told)], "model string, epoch int, accuracy double"), f"{config.out}/log")
             sources.save_weights(weights, f"{config.out}/weights", config.segmenter, config.iterations)
         return scorer, weights
-    for epoch in range(1, config.iterations + 1):
-        scorer = training.scorer_step(words, scorer, config.t_eta / epoch**0.5, config.t_c)
+
+    def told_accuracy(epoch: int, own) -> None:
         if config.out:
-            acc = models.transduce(words, scorer).join(words.select("word_id", "ur_gold"), "word_id").agg(F.lit("transducer").alias("model"), F.lit(epoch).alias("epoch"), F.avg((F.col("ur") == F.col("ur_gold")).cast("double")).alias("accuracy"))
+            acc = models.transduce(words, own).join(words.select("word_id", "ur_gold"), "word_id").agg(F.lit("transducer").alias("model"), F.lit(epoch).alias("epoch"), F.avg((F.col("ur") == F.col("ur_gold")).cast("double")).alias("accuracy"))
             sources.log_metrics(acc, f"{config.out}/log")
+
+    def kept_arcs(epoch: int, own: DataFrame) -> None:
+        told_accuracy(epoch, fitted(own).scorer(words))
+        if config.out:
+            sources.save_weights(own, f"{config.out}/weights", "transducer", epoch)
+
+    if over_features:
+        scorer = fitted(training.train_transducer(words, symbols, contexts, config.iterations, arcs, config.extra, kept_arcs)[0])
+    for epoch in range(1, config.iterations + 1) if not over_features else ():
+        scorer = training.scorer_step(words, scorer, config.t_eta / epoch**0.5, config.t_c)
+        told_accuracy(epoch, scorer)
     return scorer, training.train(forms, truth.drop("ur"), config.segmenter, config.labels, config.iterations, optimizer, each_epoch=kept)[0]
 
 
@@ -125,8 +148,9 @@ def segment(rows: DataFrame, weights: DataFrame, config: Config) -> DataFrame:
     return out.select("word_id", L.strip_brackets(F.col("tree")).alias("segments"), leaf.alias("spans"), "log_z")
 
 
-def decode(words: DataFrame, scorer: models.TransducerScorer, weights: DataFrame, config: Config, mode: str) -> DataFrame:
+def decode(words: DataFrame, scorer: models.TransducerScorer | training.FittedArcs, weights: DataFrame, config: Config, mode: str) -> DataFrame:
     """word_id, ur, segments, spans: each word's best candidate by the transducer's log-likelihood plus the segmenter's log_z."""
+    scorer = scorer.scorer(words) if isinstance(scorer, training.FittedArcs) else scorer
     cands = models.candidates(words, scorer, mode, config.samples, config.seed)
     keyed = cands.select(F.xxhash64("word_id", "ur").alias("key"), "word_id", "ur").distinct()
     own = segment(keyed.select(F.col("key").alias("word_id"), F.col("ur").alias("word")), weights, config).withColumnRenamed("word_id", "key")
@@ -135,7 +159,7 @@ def decode(words: DataFrame, scorer: models.TransducerScorer, weights: DataFrame
     return best.select("word_id", "ur").join(segmented.select("word_id", "ur", "segments", "spans"), ["word_id", "ur"])
 
 
-def run(spark: SparkSession, config: Config, scorer: models.TransducerScorer | None = None, weights: DataFrame | None = None) -> DataFrame:
+def run(spark: SparkSession, config: Config, scorer: models.TransducerScorer | training.FittedArcs | None = None, weights: DataFrame | None = None) -> DataFrame:
     """set, mode, words, ur_acc, seg_acc, f1, edit, span_f1 for every set and mode, by the given models or those of fit()."""
     if scorer is None or weights is None:
         if config.train is None:

@@ -222,6 +222,18 @@ class TransducerScorer:
     def on(self, word: str) -> dp.Transducer:
         return dp.Transducer(self.automaton, word, self, self.extra, band=self.band, max_y=self.max_y)
 
+    def attach(self, rows: DataFrame) -> DataFrame:
+        """rows (word_id, word, ...) with what workers need to score them."""
+        return rows
+
+    @property
+    def shipped(self) -> TransducerScorer:
+        """What workers hold: its batch(rows) gives the transducers of words of one length."""
+        return self
+
+    def batch(self, rows: pd.DataFrame) -> dp.TransducerBatch:
+        return self.together(rows["word"].tolist())
+
     def together(self, words: list[str]) -> dp.TransducerBatch:
         """Words of one length."""
         tables = np.stack([np.full((len(self.symbols), len(self.contexts)), dp.NEG)] + [self(0, x) for x in self.symbols])
@@ -236,29 +248,31 @@ def seeded(seed: int, word: str) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}\t{word}".encode()).digest()[:8], "big"))
 
 
-def transduce(words: DataFrame, scorer: TransducerScorer) -> DataFrame:
+def transduce(words: DataFrame, scorer: TransducerScorer | FeatureScorer) -> DataFrame:
     """word_id, word, score, ur, log_z: the best output and the log partition function."""
+    model = scorer.shipped
 
     def each(rows):
-        t = scorer.together(rows["word"].tolist())
+        t = model.batch(rows)
         for key, word, (score, ur, _), z in zip(rows["word_id"], rows["word"], t.decode(), t.log_z(), strict=True):
             yield key, word, score, ur, z
 
-    return _mapped(words.select("word_id", "word"), "word_id long, word string, score double, ur string, log_z double", each)
+    return _mapped(scorer.attach(words.select("word_id", "word")), "word_id long, word string, score double, ur string, log_z double", each)
 
 
-def clamped(pairs: DataFrame, scorer: TransducerScorer) -> DataFrame:
+def clamped(pairs: DataFrame, scorer: TransducerScorer | FeatureScorer) -> DataFrame:
     """word_id, ur, clamped, ll, in_support of pairs (word_id, word, ur); outputs beyond the length limit are out of support, and
     their ll is negative infinity."""
+    model = scorer.shipped
 
     def each(rows):
-        words, urs = rows["word"].tolist(), rows["ur"].tolist()
-        t = scorer.together(words)
+        urs = rows["ur"].tolist()
+        t = model.batch(rows)
         score, inside = t.clamped(urs)[:, 0, 0], len(urs[0]) <= t.most
-        ll = score - t.log_z() if inside else np.full(len(words), dp.NEG)
-        yield from zip(rows["word_id"], urs, score, ll, [inside] * len(words), strict=True)
+        ll = score - t.log_z() if inside else np.full(len(urs), dp.NEG)
+        yield from zip(rows["word_id"], urs, score, ll, [inside] * len(urs), strict=True)
 
-    return _mapped(pairs.select("word_id", "word", "ur"), "word_id long, ur string, clamped double, ll double, in_support boolean", each, ("word", "ur"))
+    return _mapped(scorer.attach(pairs.select("word_id", "word", "ur")), "word_id long, ur string, clamped double, ll double, in_support boolean", each, ("word", "ur"))
 
 
 def best_alignments(pairs: DataFrame, scorer: TransducerScorer) -> DataFrame:
@@ -271,7 +285,7 @@ def best_alignments(pairs: DataFrame, scorer: TransducerScorer) -> DataFrame:
     return _mapped(pairs.select("word", "ur"), "word string, ur string, score double", each, ("word", "ur"))
 
 
-def candidates(words: DataFrame, scorer: TransducerScorer, mode: str, num: int = 1000, seed: int = 1) -> DataFrame:
+def candidates(words: DataFrame, scorer: TransducerScorer | FeatureScorer, mode: str, num: int = 1000, seed: int = 1) -> DataFrame:
     """word_id, word, pos, ur, source, n of candidate outputs. mode: baseline (the word), oracle (ur_gold), viterbi (the best),
     sample (the best and the distinct samples, so the best may appear twice)."""
     if mode not in ("baseline", "oracle", "viterbi", "sample"):
@@ -279,16 +293,18 @@ def candidates(words: DataFrame, scorer: TransducerScorer, mode: str, num: int =
     if mode in ("baseline", "oracle"):
         return words.select("word_id", "word", F.lit(0).alias("pos"), F.col("word" if mode == "baseline" else "ur_gold").alias("ur"), F.lit(mode).alias("source"), F.lit(1).cast("long").alias("n"))
 
+    model = scorer.shipped
+
     def each(rows):
         own = rows["word"].tolist()
-        t = scorer.together(own)
+        t = model.batch(rows)
         drawn = t.sample(num, [seeded(seed, w) for w in own]) if mode == "sample" else [{}] * len(own)
         for key, word, (_, ur, _), counts in zip(rows["word_id"], own, t.decode(), drawn, strict=True):
             yield key, word, 0, ur, "best", 1
             for k, (out, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))):
                 yield key, word, k + 1, out, "sample", n
 
-    return _mapped(words.select("word_id", "word"), "word_id long, word string, pos int, ur string, source string, n long", each)
+    return _mapped(scorer.attach(words.select("word_id", "word")), "word_id long, word string, pos int, ur string, source string, n long", each)
 
 
 def rerank(cands: DataFrame, transducer: DataFrame, segmenter: DataFrame) -> DataFrame:
@@ -335,17 +351,31 @@ def scored_transducer(row, automaton: dp.Automaton, extra: int, arcs: dict[str,
     return dp.Transducer(automaton, row.word, lambda i, x: table.get((i, x)), extra)
 
 
-def transduce_scored(scored: DataFrame, symbols: list[str], contexts: list[str], extra: int = 6, arcs: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """word_id, word, score, ur, log_z by scores from features, and by those of arcs for all words."""
-    automaton = dp.Automaton(symbols, contexts)
+@dataclass
+class ArcScores:
+    """What workers hold of a transducer over features: scores [y, p] by x that hold for all words."""
 
-    def each(rows):
-        found = [_arc_tables(r, automaton, arcs or {}) for r in rows.itertuples(index=False)]
-        words, none = rows["word"].tolist(), np.full((len(symbols), len(contexts)), dp.NEG)
+    automaton: dp.Automaton
+    extra: int
+    arcs: dict[str, np.ndarray]
+
+    def on(self, row) -> dp.Transducer:
+        return scored_transducer(row, self.automaton, self.extra, self.arcs)
+
+    def batch(self, rows: pd.DataFrame) -> dp.TransducerBatch:
+        found = [_arc_tables(r, self.automaton, self.arcs) for r in rows.itertuples(index=False)]
+        words, none = rows["word"].tolist(), np.full((len(self.automaton.y), len(self.automaton.p)), dp.NEG)
         n = len(words[0])
         at = lambda i, j: np.stack([t.get((i, w[i:j]), none) for t, w in zip(found, words, strict=True)])
-        t = dp.TransducerBatch(automaton, n, [[(j, at(i, j)) for j in (i, i + 1) if j <= n] for i in range(n + 1)], extra)
-        for key, word, (score, ur, _), z in zip(rows["word_id"], words, t.decode(), t.log_z(), strict=True):
-            yield key, word, score, ur, z
+        return dp.TransducerBatch(self.automaton, n, [[(j, at(i, j)) for j in (i, i + 1) if j <= n] for i in range(n + 1)], self.extra)
+
+
+@dataclass
+class FeatureScorer:
+    """A transducer whose arcs have scores of their own at each place of a word: scored has the rows of packed_arcs."""
+
+    scored: DataFrame
+    shipped: ArcScores
 
-    return _mapped(scored, "word_id long, word string, score double, ur string, log_z double", each)
+    def attach(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.scored.drop("word"), "word_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -141,27 +141,39 @@ def weighted_segmenter_gradient(weighted: DataFrame, gold: DataFrame, weights: D
     return reduce(DataFrame.union, parts).groupBy("k").agg(F.sum("g").alias("g"))
 
 
-def joint(words: DataFrame, gold: DataFrame, scorer: models.TransducerScorer, weights: DataFrame, kind: str = "chunk", labels: int = 3, iterations: int = 5, samples: int = 10, eta: float = 0.1, optimizer: AdaGrad | None = None, seed: int = 1) -> tuple[models.TransducerScorer, DataFrame, list[float]]:
-    """(scorer, weights, mean joint log-likelihood of the gold forms among the candidates in each epoch) after training both
+def joint(words: DataFrame, gold: DataFrame, scorer: models.TransducerScorer | ArcModel, weights: DataFrame, kind: str = "chunk", labels: int = 3, iterations: int = 5, samples: int = 10, eta: float = 0.1, optimizer: AdaGrad | None = None, seed: int = 1, arcs: AdaGrad | None = None, extra: int = 6) -> tuple[models.TransducerScorer | DataFrame, DataFrame, list[float]]:
+    """(transducer, weights, mean joint log-likelihood of the gold forms among the candidates in each epoch) after training both
     models together: draw forms, weigh them by their joint score, step both models by the weights.
 
-    words: word_id, word, ur_gold; gold: word_id, ur (the gold form), i, j, y. The gold form is always a candidate."""
+    words: word_id, word, ur_gold; gold: word_id, ur (the gold form), i, j, y. The gold form is always a candidate. The
+    transducer is a scorer, stepped by eta, or an ArcModel, whose weights are stepped by arcs and returned."""
     optimizer, told = optimizer or AdaGrad(), []
+    over_features, step_arcs = isinstance(scorer, ArcModel), arcs or AdaGrad(eta=1.0, c=1e-7)
+    arc_weights = no_weights(words.sparkSession)
     truth = words.select("word_id", F.col("ur_gold").alias("ur"))
     for step in range(1, iterations + 1):
-        cands = models.candidates(words, scorer, "sample", samples, seed + step).select("word_id", "word", "ur")
+        own = scorer.scorer(words, arc_weights, step_arcs.initial_w, extra) if over_features else scorer
+        cands = models.candidates(words, own, "sample", samples, seed + step).select("word_id", "word", "ur")
         cands = checkpointed(cands.union(words.select("word_id", "word", F.col("ur_gold").alias("ur"))).distinct())
         forms = cands.select(F.xxhash64("word_id", "ur").alias("word_id"), F.col("ur").alias("word")).distinct()
         features = tables.chunk_features(forms) if kind == "chunk" else tables.tree_features(forms)
         seg = segmented(forms, features, weights, kind, labels, optimizer.initial_w).select(F.col("word_id").alias("form"), "log_z")
-        ll = models.clamped(cands, scorer).where("in_support").select("word_id", "ur", "ll")
+        ll = models.clamped(cands, own).where("in_support").select("word_id", "ur", "ll")
         scores = ll.withColumn("form", F.xxhash64("word_id", "ur")).join(seg, "form").select("word_id", "ur", (F.col("ll") + F.col("log_z")).alias("score"))
         weighted = checkpointed(importance(cands, scores).select("word_id", "ur", "weight"))
         told.append(weighted.join(truth, ["word_id", "ur"]).agg(F.avg(F.log("weight"))).first()[0])
-        gradient = weighted_segmenter_gradient(weighted, gold, weights, kind, labels, optimizer)
+        # words whose gold form is beyond the length limit have no likelihood and take no part
+        inside = truth.join(weighted.select("word_id", "ur"), ["word_id", "ur"], "left_semi")
+        weighted = weighted.join(inside.select("word_id"), "word_id", "left_semi")
+        gradient = weighted_segmenter_gradient(weighted, gold.join(inside.select("word_id"), "word_id", "left_semi"), weights, kind, labels, optimizer)
         weights = checkpointed(optimizer.step(weights, gradient, step))
-        scorer = joint_step(words, truth.withColumn("weight", F.lit(1.0)), weighted, scorer, eta)
-    return scorer, optimizer.finalize(weights, iterations + 1), told
+        if over_features:
+            both = weighted.union(inside.withColumn("weight", F.lit(-1.0))).groupBy("word_id", "ur").agg(F.sum("weight").alias("weight"))
+            rows = words.select("word_id", "word").join(both, "word_id")
+            arc_weights = checkpointed(step_arcs.step(arc_weights, scorer.gradient(checkpointed(weighted_arcs(own, rows))), step))
+        else:
+            scorer = joint_step(words, inside.withColumn("weight", F.lit(1.0)), weighted, scorer, eta)
+    return step_arcs.finalize(arc_weights, iterations + 1) if over_features else scorer, optimizer.finalize(weights, iterations + 1), told
 
 
 def importance(cands: DataFrame, scores: DataFrame) -> DataFrame:
@@ -228,8 +240,8 @@ class ArcModel:
     def _copied(self) -> DataFrame:
         return self.places.sparkSession.createDataFrame(list(zip(self.symbols, range(len(self.symbols)), strict=True)), "x string, y int")
 
-    def scores(self, words: DataFrame, weights: DataFrame, default: float) -> tuple[DataFrame, dict[str, np.ndarray]]:
-        """(rows of models.packed_arcs, scores [y, p] of the arcs by x) under weights (k, w)."""
+    def scorer(self, words: DataFrame, weights: DataFrame, default: float, extra: int = 6) -> models.FeatureScorer:
+        """The scorer of words (word_id, word) under weights (k, w)."""
         by, wide = ("word_id", "i", "x"), len(self.contexts)
         plain = tables.potentials(self.places, weights, len(self.symbols), default, by).select(*by, "y", F.lit(-1).alias("p"), "score")
         copies = tables.potentials(tables.tagged(self.places, "copy&"), weights, 1, default, by).drop("y").join(F.broadcast(self._copied), "x").select(*by, "y", F.lit(-1).alias("p"), "score")
@@ -241,7 +253,7 @@ class ArcModel:
         # as many rows as arcs, whose number is checked
         for r in tables.potentials(self.arcs, weights, 1, default, ("x", "out", "p")).select("x", "out", "p", "score").collect():
             arcs[r.x][y[r.out], p[r.p]] = r.score
-        return models.packed_arcs(words, places), arcs
+        return models.FeatureScorer(models.packed_arcs(words, places), models.ArcScores(dp.Automaton(self.symbols, self.contexts), extra, arcs))
 
     def gradient(self, gradient: DataFrame) -> DataFrame:
         """k, g of the sums (word_id, i, x, y, p, g) by the arcs' scores."""
@@ -261,31 +273,68 @@ class ArcModel:
         return reduce(DataFrame.union, parts).groupBy("k").agg(F.sum("g").alias("g"))
 
 
-def transducer_gradient(scored: DataFrame, gold: DataFrame, symbols: list[str], contexts: list[str], extra: int = 6, arcs: dict[str, np.ndarray] | None = None) -> DataFrame:
-    """word_id, i, x, y, p, g of the negative log-likelihood by the arcs' scores. gold: word_id, ur_gold."""
-    automaton = dp.Automaton(symbols, contexts)
+@dataclass(frozen=True)
+class FittedArcs:
+    """A trained ArcModel: its alphabets and weights."""
+
+    symbols: list[str]
+    contexts: list[str]
+    weights: DataFrame
+    default: float = -0.1
+    extra: int = 6
+
+    def scorer(self, words: DataFrame) -> models.FeatureScorer:
+        return ArcModel.of(words, self.symbols, self.contexts).scorer(words, self.weights, self.default, self.extra)
+
+
+ARC_SUMS = "word_id long, i int, x string, y int, p int, g double"
+
+
+def _arc_rows(row, t: dp.Transducer, values: list, times: float) -> Iterator[tuple]:
+    for i, (own, sums) in enumerate(zip(t.moves, values, strict=True)):
+        for (j, _), g in zip(own, sums, strict=True):
+            for y, p in zip(*(a.tolist() for a in np.nonzero(g)), strict=True):
+                yield row.word_id, i, row.word[i:j], y, p, times * float(g[y, p])
+
+
+def transducer_gradient(scorer: models.FeatureScorer, gold: DataFrame) -> DataFrame:
+    """word_id, i, x, y, p, g of the negative log-likelihood by the arcs' scores. gold: word_id, word, ur_gold; forms beyond the
+    length limit have no likelihood and take no part."""
+    model = scorer.shipped
 
     def each(rows):
         for row in rows.itertuples(index=False):
-            t = models.scored_transducer(row, automaton, extra, arcs)
-            for i, (own, grads) in enumerate(zip(t.moves, t.gradient(row.ur_gold), strict=True)):
-                for (j, _), g in zip(own, grads, strict=True):
-                    for y, p in zip(*(a.tolist() for a in np.nonzero(g)), strict=True):
-                        yield row.word_id, i, row.word[i:j], y, p, -float(g[y, p])
+            t = model.on(row)
+            yield from _arc_rows(row, t, t.gradient(row.ur_gold), -1.0)
+
+    inside = gold.where(F.length("ur_gold") <= F.length("word") + model.extra)
+    return models._mapped(scorer.attach(inside.select("word_id", "word", "ur_gold")), ARC_SUMS, each)
+
 
-    return models._mapped(scored.join(gold.select("word_id", "ur_gold"), "word_id"), "word_id long, i int, x string, y int, p int, g double", each)
+def weighted_arcs(scorer: models.FeatureScorer, rows: DataFrame) -> DataFrame:
+    """word_id, i, x, y, p, g: expected arcs given the outputs of rows (word_id, word, ur, weight), times their weights."""
+    model = scorer.shipped
 
+    def each(group):
+        for row in group.itertuples(index=False):
+            t = model.on(row)
+            yield from _arc_rows(row, t, t.expected_clamped(row.ur), row.weight)
 
-def train_transducer(words: DataFrame, symbols: list[str], contexts: list[str], iterations: int = 20, optimizer: AdaGrad | None = None, extra: int = 6) -> tuple[DataFrame, list[DataFrame]]:
+    return models._mapped(scorer.attach(rows.select("word_id", "word", "ur", "weight")), ARC_SUMS, each)
+
+
+def train_transducer(words: DataFrame, symbols: list[str], contexts: list[str], iterations: int = 20, optimizer: AdaGrad | None = None, extra: int = 6, each_epoch: Callable[[int, DataFrame], None] | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """(weights, exact-match accuracy of the best output against ur_gold for each epoch) from words (word_id, word, ur_gold),
     by the same batch steps as train(). The weights are those of ArcModel."""
     optimizer = optimizer or AdaGrad(eta=1.0, c=1e-7)
     model = ArcModel.of(words, symbols, contexts)
     weights, metrics = no_weights(words.sparkSession), []
     for step in range(1, iterations + 1):
-        scored, arcs = model.scores(words, weights, optimizer.initial_w)
-        gradient = checkpointed(transducer_gradient(scored, words, symbols, contexts, extra, arcs))
-        best = models.transduce_scored(scored, symbols, contexts, extra, arcs).join(words.select("word_id", "ur_gold"), "word_id")
+        scorer = model.scorer(words, weights, optimizer.initial_w, extra)
+        gradient = checkpointed(transducer_gradient(scorer, words))
+        best = models.transduce(words, scorer).join(words.select("word_id", "ur_gold"), "word_id")
         metrics.append(best.agg(F.avg((F.col("ur") == F.col("ur_gold")).cast("double")).alias("ur_acc")))
         weights = checkpointed(optimizer.step(weights, model.gradient(gradient), step))
+        if each_epoch is not None:
+            each_epoch(step, optimizer.finalize(weights, step + 1))
     return optimizer.finalize(weights, iterations + 1), metrics

@@ -141,11 +141,8 @@ def test_streaming(spark, tmp_path):
 
 
 def _likelihood(words, model, weights, extra=1):
-    from lexiforge.operators import dp
-
-    scored, arcs = model.scores(words, weights, -0.1)
-    gold = {r.word_id: r.ur_gold for r in words.collect()}
-    return sum(models.scored_transducer(r, dp.Automaton(model.symbols, model.contexts), extra, arcs).log_likelihood(gold[r.word_id]) for r in scored.collect())
+    scorer = model.scorer(words, weights, -0.1, extra)
+    return sum(scorer.shipped.on(r).log_likelihood(r.ur_gold) for r in scorer.attach(words).collect())
 
 
 def test_transducer_training(spark):
@@ -166,8 +163,7 @@ def test_transducer_gradient_by_feature(spark):
     slot = {r.f: r.k for r in text.select("f", L.slot(L.hash_key(F.col("f")), F.col("labels"), F.col("y")).alias("k")).collect()}
     start = [(k, 0.3 - 0.1 * n) for n, k in enumerate(slot.values())]
     frame = lambda rows: spark.createDataFrame(rows, "k long, w double")
-    scored, arcs = model.scores(words, frame(start), -0.1)
-    got = {r.k: r.g for r in model.gradient(training.transducer_gradient(scored, words, symbols, contexts, 1, arcs)).collect()}
+    got = {r.k: r.g for r in model.gradient(training.transducer_gradient(model.scorer(words, frame(start), -0.1, 1), words)).collect()}
     for name in ("copy", "after:b|b>b", "copy&x:b", "after&right:b"):
         up, down = ([(k, w + e * (k == slot[name])) for k, w in start] for e in (1e-4, -1e-4))
         numeric = (_likelihood(words, model, frame(up)) - _likelihood(words, model, frame(down))) / 2e-4
@@ -175,15 +171,14 @@ def test_transducer_gradient_by_feature(spark):
 
 
 def test_batched_transducer_equals_single_words(spark):
-    from lexiforge.operators import dp
-
     words = spark.createDataFrame([(1, "ab", "b"), (2, "bb", "b"), (3, "a", "a"), (4, "", "")], "word_id long, word string, ur_gold string")
     symbols, contexts = ["", "a", "b"], ["", "b"]
     model = training.ArcModel.of(words, symbols, contexts)
-    scored, arcs = model.scores(words, spark.range(400).select(F.col("id").alias("k"), F.lit(0.5).alias("w")).union(spark.sql("SELECT k, (k % 7) / 5 - 0.5 FROM (SELECT explode(sequence(0, 4194303, 3)) AS k)")).dropDuplicates(["k"]), -0.1)
-    got = {r.word_id: r for r in models.transduce_scored(scored, symbols, contexts, 2, arcs).collect()}
-    for row in scored.collect():
-        t = models.scored_transducer(row, dp.Automaton(symbols, contexts), 2, arcs)
+    weights = spark.sql("SELECT k, (k % 7) / 5 - 0.5 AS w FROM (SELECT explode(sequence(0, 4194303, 3)) AS k)")
+    scorer = model.scorer(words, weights, -0.1, 2)
+    got = {r.word_id: r for r in models.transduce(words, scorer).collect()}
+    for row in scorer.scored.collect():
+        t = scorer.shipped.on(row)
         assert got[row.word_id].log_z == pytest.approx(t.log_z()) and got[row.word_id].score == pytest.approx(t.decode()[0]) and got[row.word_id].ur == t.decode()[1]
 
 
@@ -215,6 +210,17 @@ def test_experiment_trains(spark, tmp_path, segmenter, how):
     assert {r.epoch for r in log.collect()} == {1, 2, 3} and sources.load_weights(spark, str(tmp_path / "out" / "weights"), segmenter).count() > 0
 
 
+def test_experiment_over_features(spark, tmp_path):
+    from lexiforge.operators import experiment
+
+    spark.createDataFrame([("ab (S (a:prefix) (b:stem))",), ("ba (S (b:stem) (a:suffix))",)], "value string").coalesce(1).write.text(str(tmp_path / "train"))
+    config = experiment.Config(dev=str(tmp_path / "train"), train=str(tmp_path / "train"), decode="viterbi", iterations=2, t_eta=0.05, extra=1, transducer="features", out=str(tmp_path / "out"))
+    got = experiment.run(spark, config).first()
+    assert got.words == 2 and 0 <= got.ur_acc <= 1
+    log = spark.read.parquet(str(tmp_path / "out" / "log")).where("model = 'transducer'")
+    assert {r.epoch for r in log.collect()} == {1, 2} and sources.load_weights(spark, str(tmp_path / "out" / "weights"), "transducer").count() > 0
+
+
 def test_joint_training_raises_the_likelihood(spark):
     words = spark.createDataFrame([(1, "aab", "ab"), (2, "bab", "bb")], "word_id long, word string, ur_gold string")
     gold = spark.createDataFrame([(1, "ab", 0, 1, 0), (1, "ab", 1, 2, 2), (2, "bb", 0, 2, 2)], "word_id long, ur string, i int, j int, y int")
@@ -223,6 +229,14 @@ def test_joint_training_raises_the_likelihood(spark):
     assert told[-1] > told[0] + 0.1 and moved.on("aab").log_likelihood("ab") > scorer.on("aab").log_likelihood("ab") and weights.count() > 0
 
 
+def test_joint_training_over_features(spark):
+    words = spark.createDataFrame([(1, "aab", "ab"), (2, "bab", "bb")], "word_id long, word string, ur_gold string")
+    gold = spark.createDataFrame([(1, "ab", 0, 1, 0), (1, "ab", 1, 2, 2), (2, "bb", 0, 2, 2)], "word_id long, ur string, i int, j int, y int")
+    model = training.ArcModel.of(words, ["", "a", "b"], [""], width=2)
+    arcs, weights, told = training.joint(words, gold, model, training.no_weights(spark), iterations=2, samples=20, optimizer=AdaGrad(eta=0.5), arcs=AdaGrad(eta=0.05), extra=1)
+    assert len(told) == 2 and weights.count() > 0 and _likelihood(words, model, arcs) > _likelihood(words, model, arcs.limit(0)) + 0.1
+
+
 def test_transitions_are_learned(spark):
     """Segments that look alike can only be told by the label before."""
     words = spark.createDataFrame([(k, "aa") for k in range(4)], "word_id long, word string")
